@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import line_dedup, media, mixing
+from . import line_dedup, media, mixing, ngram_join, toxicity
 from .common import table
 
 
@@ -15,6 +15,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of similar documents and its number of links."""
+    ship(spark)
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents")).drop("th", "class_th")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of three or more documents stay in the largest doc_id only."""
     ship(spark)
@@ -27,6 +33,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents")).drop("first_slot")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, with the offsets of its offending spans."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
 SQL_4 = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, rid, unnest(l) AS line, unnest(range(len(l))) AS i
@@ -62,5 +75,5 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op1_media, op4_line_dedup, op5_mixing)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_ngram_join, op4_line_dedup, op5_mixing, op9_toxicity)}
 SQL = {"op4_line_dedup": SQL_4, "op5_mixing": SQL_5}
