@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import line_dedup, media, mixing, ngram_join, toxicity
+from . import chat, line_dedup, media, mixing, ngram_join, sentencepieces, topk, toxicity, url_filter, warc
 from .common import table
 
 
@@ -21,6 +21,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents")).drop("th", "class_th")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back in chunks."""
+    ship(spark)
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of three or more documents stay in the largest doc_id only."""
     ship(spark)
@@ -33,6 +39,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents")).drop("first_slot")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products for every hundredth vector."""
+    ship(spark)
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("id % 100 = 0"))
+
+
+def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every whole text, with inclusion scores."""
+    ship(spark)
+    return sentencepieces.sample(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back."""
+    ship(spark)
+    return chat.digests(chat.with_injection(table(spark, sf_dir, "conversations")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, with the offsets of its offending spans."""
     ship(spark)
@@ -40,6 +65,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, by rule or by its host's path templates."""
+    ship(spark)
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+SQL_3 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS head FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to,
+       CAST(CASE WHEN page_id IS NOT DISTINCT FROM head THEN greatest(1, ceil(payload_bytes / 1048576)) ELSE 1 END AS INT) AS chunks
+FROM m
+"""
+
 SQL_4 = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, rid, unnest(l) AS line, unnest(range(len(l))) AS i
@@ -75,5 +119,29 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_ngram_join, op4_line_dedup, op5_mixing, op9_toxicity)}
-SQL = {"op4_line_dedup": SQL_4, "op5_mixing": SQL_5}
+SQL_6 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, row_number() OVER () AS rid
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) <= 10
+"""
+
+SQL_8 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+           UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS et,
+             replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS er FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(et) + length(er) + 24) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_ngram_join, op3_warc, op4_line_dedup, op5_mixing, op6_topk, op7_sentencepieces, op8_chat, op9_toxicity, op10_url_filter)}
+SQL = {"op3_warc": SQL_3, "op4_line_dedup": SQL_4, "op5_mixing": SQL_5, "op6_topk": SQL_6, "op8_chat": SQL_8}
