@@ -1 +1 @@
-
+"""Functions from columns to columns."""

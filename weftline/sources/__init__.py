@@ -1 +1 @@
-
+"""Readers, writers and declared schemas."""
