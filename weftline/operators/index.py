@@ -76,7 +76,8 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None =
 def dense(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, query_vector: str, doc_vector: str, k: int | None = None, cosine: bool = True) -> DataFrame:
     """``query_key``, ``doc_key``, score, rank by inner product (of unit vectors); ties to the larger key.
 
-    Every query meets every document; the queries are the side that Spark broadcasts, if it is small enough.
+    A stated query set against all documents: documents stay where they are, queries are the
+    side that travels, and with ``k`` each task keeps its best k before the shuffle.
     """
     q = queries.select(query_key, (unit_vector(query_vector) if cosine else F.col(query_vector)).alias("_q"))
     d = docs.select(doc_key, (unit_vector(doc_vector) if cosine else F.col(doc_vector)).alias("_d"))

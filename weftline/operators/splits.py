@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 from ..functions.text import hash_order
 
 
+def hash_rank(rows: DataFrame, key: str, into: str, seed: str = "") -> DataFrame:
+    """Place of each row, from 1, in the seeded order of a key: no task orders all rows.
+
+    Buckets are the first four digits of the hash; their counts add up to what precedes a
+    bucket, and each bucket is ordered alone.
+    """
+    r = rows.withColumn("_h", hash_order(key, seed=seed)).withColumn("_b", F.substring("_h", 1, 4))
+    per = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))  # 65536 rows at most
+    base = per.select("_b", F.coalesce(F.sum("_c").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inner = F.row_number().over(W.partitionBy("_b").orderBy("_h", key))
+    return r.withColumn(into, inner).join(base, "_b").withColumn(into, F.col(into) + F.col("_base")).drop("_h", "_b", "_base")
+
+
 def grouped_split(rows: DataFrame, group: Column, test: float = 0.1, val: float = 0.1, holdout: Column | None = None, seed: str = "") -> DataFrame:
     """Adds split: whole groups go to test, then validation, by a seeded order; held-out groups to test.
 
@@ -17,9 +30,10 @@ def grouped_split(rows: DataFrame, group: Column, test: float = 0.1, val: float
     r = rows.withColumn("_g", group)
     held = F.max(holdout if holdout is not None else F.lit(False)).alias("_held")
     groups = r.groupBy("_g").agg(held)
-    free = groups.where("not _held").withColumn("_n", F.row_number().over(W.orderBy(hash_order("_g", seed=seed), "_g")))
-    total = F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))
-    free = free.withColumn("_t", F.bround(total * test).cast("long")).withColumn("_v", F.bround(total * val).cast("long"))
+    free = groups.where("not _held")
+    total = free.agg(F.count(F.lit(1)).alias("_all"))
+    free = hash_rank(free, "_g", "_n", seed).crossJoin(F.broadcast(total))  # one row
+    free = free.withColumn("_t", F.bround(F.col("_all") * test).cast("long")).withColumn("_v", F.bround(F.col("_all") * val).cast("long"))
     name = F.when(F.col("_n") <= F.col("_t"), "test").when(F.col("_n") <= F.col("_t") + F.col("_v"), "val").otherwise("train")
     named = free.select("_g", name.alias("split")).unionByName(groups.where("_held").select("_g", F.lit("test").alias("split")))
     return r.join(named, "_g").drop("_g")
