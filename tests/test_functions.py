@@ -51,7 +51,7 @@ def test_fact_present(spark, fact, response, strict):
 @pytest.mark.parametrize(
     "fact, response, score",
     [
-        ("imprisonment up to 10 years", "imprisonment that extends to 10 years", 1.0), ("imprisonment up to 10 years", "imprisonment up to 3 years", 0.0), ("pay fines quickly today please", "paying fine quickly today", 0.8),
+        ("imprisonment up to 10 years", "imprisonment that extends to 10 years", 1.0), ("imprisonment up to 10 years", "imprisonment up to 3 years", 0.0), ("pay fine quickly today please", "paying fine quickly today", 0.8),
         ("the of", "anything", 0.0), ("Section 9 alpha", "Section 9 alpha", 1.0), ("five thousand rupees", "Rs. 5,000", 1.0),
     ],
 )

@@ -51,7 +51,7 @@ def split_text(text: str) -> Iterator[tuple[str, str, int, int, int]]:
             continue
         kept.append(m)
         seen.add(m["n"])
-    stops = [m.start() for m in kept[1:]] + [len(text)]
+    stops = [*(m.start() for m in kept[1:]), len(text)][: len(kept)]
     for m, stop in zip(kept, stops, strict=True):
         yield m["n"], " ".join(m["title"].split()), m.start(), stop, m.end()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as K
 from ..streaming import flows
-from .registry import Tables, query
+from .base import Tables, query
 
 
 @query("""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g') AS x FROM pages),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, similarity_normal, split_words, strict_normal
 from ..operators import curation as K
 from ..operators import records as R
-from .registry import Tables, query
+from .base import Tables, query
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _WORDS = "list_distinct(list_filter(string_split({n}, ' '), lambda x: x <> ''))"

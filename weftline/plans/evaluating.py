@@ -9,7 +9,7 @@ from ..functions.text import STOPWORDS, STRICT_NUMERALS, UNITS, split_words
 from ..operators import metrics as M
 from ..operators import records as R
 from .curating import _STRICT
-from .registry import Tables, query
+from .base import Tables, query
 from .retrieving import _bm25_sql, bm25
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"

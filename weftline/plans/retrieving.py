@@ -9,7 +9,7 @@ from ..functions.text import percent, row_words, tokens, word_count
 from ..operators import context as X
 from ..operators import index as I
 from ..operators import records as R
-from .registry import Tables, query
+from .base import Tables, query
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9ऀ-ॿ]+')"
 _FIRST_LINE = "split_part(coalesce(text, ''), chr(10), 1)"

@@ -8,7 +8,7 @@ from ..operators import records as R
 from ..operators import splits as S
 from ..sources import sinks
 from ..sources.readers import eval_split, run_predictions
-from .registry import Tables, query
+from .base import Tables, query
 
 _H = "sha256('{seed}' || {key})"
 
