@@ -14,9 +14,9 @@ several labels of one doc_id count as toxic if any is; without a labelled
 document of each class the score is the smoothed share of toxic labels.  Scores
 depend on the text alone.
 
-Scale: the fit reads at most ``MOST_PER_CLASS`` labelled documents of each class
+Scale: the fit reads at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled documents
 (chosen by a hash of the doc_id), whatever the size of the corpus, within
-``MOST_FIT_BYTES`` of text; scoring is one pass without a shuffle, with 8 MB of
+``MOST_TOXIC_BYTES`` and ``MOST_CLEAN_BYTES`` of text; scoring is one pass without a shuffle, with 8 MB of
 weights broadcast.
 """
 
@@ -35,8 +35,8 @@ from .common import code_points, lower, mix64, sliced, span_hashes, texts, words
 from .ngram_join import gram_sets, minwise
 
 #: Labelled documents of each class that the fit may read, and their bytes.
-MOST_PER_CLASS = 3000
-MOST_FIT_BYTES = 16 << 20
+MOST_TOXIC, MOST_TOXIC_BYTES = 1500, 4 << 20
+MOST_CLEAN, MOST_CLEAN_BYTES = 4500, 12 << 20
 BITS = 20
 WINDOW = 32
 PREFIXES = (3, 4, 5, 6)
@@ -152,15 +152,17 @@ def _unlike(labelled: list[tuple[str, bool]], least: int = 7) -> list[tuple[str,
 
     Copies agree with an earlier text in ``least`` of 64 minwise samples of 3-grams.
     """
-    kept, where = [], {}
+    kept: list[tuple[str, bool]] = []
+    where: dict[int, list[int]] = {}
     for batch in sliced([pa.RecordBatch.from_arrays([pa.array([x for x, _ in labelled], pa.large_string()), pa.array(range(len(labelled)))], names=["text", "n"])]):
         grams, off = gram_sets(batch.column(0), 3)
         samples = minwise(grams, off)
         for n, row in zip(batch.column(1).to_pylist(), samples.tolist(), strict=True):
-            seen = Counter(k for at in enumerate(row) for k in where.get(at, ()))
+            spots = [i << 32 | v for i, v in enumerate(row)]
+            seen = Counter(k for at in spots for k in where.get(at, ()))
             if seen and max(seen.values()) >= least:
                 continue
-            for at in enumerate(row):
+            for at in spots:
                 where.setdefault(at, []).append(n)
             kept.append(labelled[n])
     return kept
@@ -216,7 +218,7 @@ def fit(labelled: list[tuple[str, bool]], totals: tuple[int, int] | None = None,
         data = lower(data)
         start, end, row = words(data, off)
         parts.append(token_features(data, start, end))
-        rows.append(row + base)
+        rows.append((row + base).astype(np.int32))
         base += batch.num_rows
     row = np.concatenate(rows)
     slots = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -238,12 +240,18 @@ def fit(labelled: list[tuple[str, bool]], totals: tuple[int, int] | None = None,
     wanted = has.copy()
     wanted[np.argsort(pick, kind="stable")[: min(int(clean.sum()), 3 * int(has.sum()) + 100)]] = True
     use = wanted[chunk]
-    _, seq = np.unique(chunk[use], return_inverse=True)
+    where = chunk[use]
+    seq = np.cumsum(np.concatenate(([0], where[1:] != where[:-1])))
     s, t = [x[use] for x in slots], y[use]
-    n_seq = int(seq.max()) + 1
+    n_seq = int(seq[-1]) + 1
+    del chunk, place, use, where
     # features compacted to those in use
-    ids, flat = np.unique(np.concatenate(s), return_inverse=True)
-    flat = flat.reshape(len(s), -1)
+    used = np.zeros(1 << BITS, bool)
+    for x in s:
+        used[x] = True
+    ids, at = np.flatnonzero(used), (np.cumsum(used) - 1).astype(np.int32)
+    flat = [at[x] for x in s]
+    del s
     w, bias, move = np.zeros(len(ids)), -4.0, np.zeros((2, 2))
     g_w, g_b, g_m = np.full(len(ids), 1e-3), 1e-3, np.full((2, 2), 1e-3)
     before = np.concatenate(([False], t[:-1]))
@@ -274,7 +282,12 @@ def fit(labelled: list[tuple[str, bool]], totals: tuple[int, int] | None = None,
     weights = np.zeros(1 << BITS, np.float32)
     weights[ids] = w
     field = Field(weights, float(bias), np.exp(move), np.zeros(3))
-    x = _document_evidence(marginals(field.emissions(slots), row, len(toxic), field.move), row, len(toxic))
+    parts, step = [], 256  # documents at a time
+    for a in range(0, len(toxic), step):
+        lo, hi = np.searchsorted(row, (a, a + step))
+        own, n = row[lo:hi] - a, min(step, len(toxic) - a)
+        parts.append(_document_evidence(marginals(field.emissions([x[lo:hi] for x in slots]), own, n, field.move), own, n))
+    x = np.concatenate(parts)
     balance = np.where(toxic, toxic_n / toxic.sum(), clean_n / (~toxic).sum())
     field.doc = _fit_logistic(x, toxic.astype(float), balance)
     return field
@@ -307,16 +320,17 @@ def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> Field:
+def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on a bounded sample of the labelled documents whose remainder isn't 0."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}  # two rows at most
     order = F.xxhash64("doc_id")
-    parts = [y.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(most_per_class) for c in (True, False)]
-    chosen = parts[0].unionByName(parts[1])  # 2 * most_per_class narrow rows, whatever the corpus: safe to broadcast
+    parts = [y.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(n) for c, n in ((True, MOST_TOXIC), (False, MOST_CLEAN))]
+    chosen = parts[0].unionByName(parts[1])  # 6000 narrow rows at most, whatever the corpus: safe to broadcast
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
     size = F.sum(F.octet_length("text")).over(_by_class())
-    kept = found.withColumn("_size", size).where(F.col("_size") <= MOST_FIT_BYTES // 2).select("doc_id", "text", "toxic")
+    most = F.when(F.col("toxic"), MOST_TOXIC_BYTES).otherwise(MOST_CLEAN_BYTES)
+    kept = found.withColumn("_size", size).where(F.col("_size") <= most).select("doc_id", "text", "toxic")
     rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in kept.toLocalIterator()), key=lambda r: (r[0], r[1]))
     return fit([(t, c) for _, t, c in rows], (counts.get(False, 0), counts.get(True, 0)))
 
