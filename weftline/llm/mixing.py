@@ -203,9 +203,10 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     names = docs.columns
     flat = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.struct(*names).alias("_row"), "text")
     sizes, goals, n = sized(flat, weights, share, most, carry=("_row",))
-    rows = by_pass(shuffled_streams(sizes, n, seed), goals).where("_z > _a").select("_row.*", "size", (F.col("_z") - F.col("_a")).alias("_words"))
-    whole = rows.where("_words = size").select(*names)
-    cut = rows.where("_words < size")
+    rows = by_pass(shuffled_streams(sizes, n, seed), goals).where("_z > _a")
+    rows = rows.select(F.col("_row"), (F.col("_z") - F.col("_a")).alias("_words"), F.col("size").alias("_size"))
+    whole = rows.where("_words = _size").select("_row.*")
+    cut = rows.where("_words < _size")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +216,7 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
             columns[at] = pa.array(short, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    cut = cut.select(*names, "_words").mapInArrow(run, docs.schema)
+    cut = cut.select(*[F.col("_row").getField(c).alias(f"c{i}") for i, c in enumerate(names)], "_words").mapInArrow(run, docs.schema)
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(cut.select(*names))

@@ -72,7 +72,7 @@ class _Members:
     """The bytes of concatenated gzip members, read in blocks."""
 
     def __init__(self, source):
-        self.source, self.z, self.rest = source, zlib.decompressobj(31), b""
+        self.source, self.z, self.rest, self.open = source, zlib.decompressobj(31), b"", False
 
     def read(self, n: int) -> bytes:
         """Up to n bytes; empty at the end of the archive."""
@@ -80,10 +80,12 @@ class _Members:
             if not self.rest:
                 self.rest = self.source.read(CHUNK)
                 if not self.rest:
+                    if self.open:
+                        raise ValueError("archive ends within a member")
                     return b""
-            got = self.z.decompress(self.rest, n)
+            got, self.open = self.z.decompress(self.rest, n), True
             if self.z.eof:
-                self.rest, self.z = self.z.unused_data, zlib.decompressobj(31)
+                self.rest, self.z, self.open = self.z.unused_data, zlib.decompressobj(31), False
             else:
                 self.rest = self.z.unconsumed_tail
             if got:
