@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, lower, mix64, sliced, span_hashes, texts, words
+from .common import code_points, give_back, lower, mix64, sliced, span_hashes, texts, words
 from .ngram_join import gram_sets, minwise
 
 #: Labelled documents of each class that the fit may read, and their bytes.
@@ -174,12 +174,12 @@ def _indicative(slots: list[np.ndarray], row: np.ndarray, toxic: np.ndarray, odd
     ``odds``: how many times a toxic document of the sample counts against a clean one in the whole.
     """
     d1, d0 = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for s in slots:
-        pairs = np.unique(row.astype(np.int64) << BITS | s)
-        slot, doc = pairs & ((1 << BITS) - 1), pairs >> BITS
-        yes = toxic[doc]
-        d1 += np.bincount(slot[yes], minlength=1 << BITS)
-        d0 += np.bincount(slot[~yes], minlength=1 << BITS)
+    for lo, hi in _pieces(row):
+        for s in slots:
+            pairs = np.unique(row[lo:hi].astype(np.int64) << BITS | s[lo:hi])
+            slot, yes = pairs & ((1 << BITS) - 1), toxic[pairs >> BITS]
+            np.add.at(d1, slot[yes], 1)
+            np.add.at(d0, slot[~yes], 1)
     n, base = d1 + d0, toxic.mean()
     used = int((n > 0).sum())
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -189,6 +189,24 @@ def _indicative(slots: list[np.ndarray], row: np.ndarray, toxic: np.ndarray, odd
     return (n > 0) & (share > base) & (d1 * odds > d0) & (gain > np.log(used + 1.0))
 
 
+def _pieces(seq: np.ndarray, most: int = 1 << 17) -> list[tuple[int, int]]:
+    """Cuts of a sorted array into ranges of about ``most`` places that split no value."""
+    cuts = [0]
+    while cuts[-1] < len(seq):
+        at = min(cuts[-1] + most, len(seq))
+        cuts.append(len(seq) if at == len(seq) else max(int(np.searchsorted(seq, seq[at])), int(np.searchsorted(seq, seq[cuts[-1]], "right"))))
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _piecewise(e: np.ndarray, seq: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """``marginals`` over all sequences, a range at a time, so that little memory is held."""
+    out = np.empty(len(e))
+    for lo, hi in _pieces(seq):
+        own = seq[lo:hi] - seq[lo]
+        out[lo:hi] = marginals(e[lo:hi], own, int(own[-1]) + 1, move)
+    return out
+
+
 def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     w = np.zeros(x.shape[1])
     penalty = ridge * np.array([0.01, *[1.0] * (x.shape[1] - 1)])
@@ -243,7 +261,6 @@ def fit(labelled: list[tuple[str, bool]], totals: tuple[int, int] | None = None,
     where = chunk[use]
     seq = np.cumsum(np.concatenate(([0], where[1:] != where[:-1])))
     s, t = [x[use] for x in slots], y[use]
-    n_seq = int(seq[-1]) + 1
     del chunk, place, use, where
     # features compacted to those in use
     used = np.zeros(1 << BITS, bool)
@@ -261,7 +278,7 @@ def fit(labelled: list[tuple[str, bool]], totals: tuple[int, int] | None = None,
         total = np.full(len(t), bias)
         for f in flat:
             total += w[f]
-        p = marginals(np.exp(np.clip(total, -_CLIP, _CLIP)), seq, n_seq, np.exp(move))
+        p = _piecewise(np.exp(np.clip(total, -_CLIP, _CLIP)), seq, np.exp(move))
         gap = t - p
         gradient = np.zeros(len(ids))
         for f in flat:
@@ -332,7 +349,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     most = F.when(F.col("toxic"), MOST_TOXIC_BYTES).otherwise(MOST_CLEAN_BYTES)
     kept = found.withColumn("_size", size).where(F.col("_size") <= most).select("doc_id", "text", "toxic")
     rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in kept.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    return fit([(t, c) for _, t, c in rows], (counts.get(False, 0), counts.get(True, 0)))
+    try:
+        return fit([(t, c) for _, t, c in rows], (counts.get(False, 0), counts.get(True, 0)))
+    finally:
+        del rows
+        give_back()
 
 
 def _by_class():
