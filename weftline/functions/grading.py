@@ -146,12 +146,15 @@ def lint(fact: str | Column, most: int = 6, claims: tuple[str, ...] = CLAIMS, **
 def curate_columns(required: str | Column, forbidden: str | Column, gold: str | Column, **options) -> dict[str, Column]:
     """Facts that the gold answer itself satisfies stay; others are quarantined, with their score and lint."""
     g = _c(gold)
-    scored = F.transform(_c(required), lambda f: F.struct(f.alias("fact"), score_fact(f, g, **options)["score"].alias("gold_score"), lint(f, **options).alias("lint")))
+    scored = F.transform(_c(required), lambda f: F.struct(f.alias("fact"), score_fact(f, g, **options)["score"].alias("gold_score"), score_fact(f, g, **options)["reason"].alias("reason"), lint(f, **options).alias("lint")))
     kept = F.filter(scored, lambda s: s["gold_score"] == 1.0)
     out = F.filter(scored, lambda s: s["gold_score"] < 1.0)
     ban = F.transform(_c(forbidden), lambda f: F.struct(f.alias("fact"), lint(f, **options).alias("lint"), forbidden_present(f, g).alias("fires_on_gold")))
-    bad = F.filter(ban, lambda s: s["fires_on_gold"] | (F.size(s["lint"]) > 0))
-    return {"kept_facts": kept["fact"], "quarantined_facts": out, "forbidden_needs_rewrite": bad, "needs_curation": F.size(kept) == 0}
+    wrong = lambda s: s["fires_on_gold"] | (F.size(s["lint"]) > 0)
+    return {
+        "kept_facts": kept["fact"], "quarantined_facts": out, "kept_forbidden": F.filter(ban, lambda s: ~wrong(s))["fact"],
+        "forbidden_needs_rewrite": F.filter(ban, wrong), "needs_curation": F.size(kept) == 0,
+    }
 
 
 def mcq_letter(answer: str | Column) -> Column:

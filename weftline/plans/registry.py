@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpora, curating, evaluating, retrieving, sampling  # noqa: F401
+from . import corpora, curating, evaluating, generating, retrieving, sampling  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
