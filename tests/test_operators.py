@@ -266,3 +266,27 @@ def test_streams(spark, tmp_path):
     assert sorted(r["n"] for r in w.collect()) == [1, 2]
     g = flows.drained(flows.gated(s, F.when(F.col("id") == 1, F.array(F.lit("bad"))).otherwise(F.array().cast("array<string>"))), "gate")
     assert sorted(r["ok"] for r in g.collect()) == [False, False, True]
+
+
+def test_generation_helpers(spark):
+    from weftline.functions.citations import within_context
+    from weftline.operators import generation as N
+
+    assert [r["x"] for r in spark.createDataFrame([("forty-five",), ("seven",), ("12",), ("many",)], "w string").select(N.word_number(F.col("w")).alias("x")).collect()] == [45, 7, 12, None]
+    rows = frame(spark, [("Section 4 and Section 5", ["alpha:4"])], "t string, k array<string>")
+    assert rows.select(within_context("t", "k").alias("x")).first()["x"] is False
+    syn = frame(spark, [(1, "a", "x", "v1"), (2, "b", "y", "v1"), (3, "a", "z", "v1"), (4, "c", "q", "v2")], "ord int, phrase string, expansion string, version string")
+    assert N.pick_synonyms(syn, "v1") == [("a", "z"), ("b", "y")]
+    left, right = frame(spark, [(1,), (2,)], "id int"), frame(spark, [(1, "x")], "id int, v string")
+    with pytest.raises(Exception, match="no record for 2"):
+        N.joined_whole(left, right, "id").collect()
+    ex = frame(spark, [(1, "one two three four five six seven eight", ""), (2, "other", "the answer is this very long one here")], "id int, q string, a string")
+    ev = frame(spark, [(9, "One two three four five six seven eight!", "the answer is this very long one there")], "e int, question string, expected string")
+    assert {r["id"] for r in N.leaking(ex, "id", [("q", "question"), ("a", "expected")], ev, "e").collect()} == {1, 2}
+    t = frame(spark, [(1, "Act", "Punishment for theft.", None, None, ["money"])], "id int, act string, title string, text string, s string, tags array<string>")
+    c = F.col
+    r = t.select(N.searchable(c("act"), c("title"), c("text"), c("s"), c("tags")).alias("x"), N.title_tokens(c("title"), c("tags")).alias("y"), N.section_group(c("tags")).alias("z")).first()
+    assert (r["x"], r["y"], r["z"]) == ("Act Punishment for theft. money", ["punishment", "for", "theft", "money"], ["money"])
+    q = N.rule_questions(frame(spark, [(1, "Act", "5", "Punishment for theft.", "within ten days or within two days"), (2, "Act", "6", "", "x")], "id int, a string, s string, t string, x string"), "id", "a", "s", "t", "x").collect()
+    assert [(x["subtype"], x["answer"]) for x in q] == [("which_section", "Theft is treated in Section 5 of the Act.")]
+    assert N.positions(frame(spark, [("g", 1), ("g", 2)], "g string, n int"), "g", "n").orderBy("n").collect()[1]["pos"] == 0.5
