@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .citations import DEMO, FACT_NUMBER, Aliases, alias_regex, extract, is_citation_fact
-from .text import DEVANAGARI, graded_tokens, split_words, strict_normal, without_stopwords
+from .text import DEVANAGARI, graded_tokens, let, split_words, strict_normal, without_stopwords
 
 ABSTENTIONS = ("cannot help", "cannot assist", "unable to assist", "i must decline", "consult a lawyer", "consult an advocate", "no guarantee")
 FRAMINGS = ("as current law", "still in force", "still applies", "remains in force")
@@ -35,12 +35,15 @@ def _names_present(fact_normal: Column, response_normal: Column, aliases: Aliase
 
 def fact_present(fact: str | Column, response: str | Column, aliases: Aliases = DEMO) -> Column:
     """Strict: a citation in a citing context with its act named, or a stopword-free substring."""
-    f, r = strict_normal(fact), strict_normal(response)
     numbers = F.regexp_extract_all(_c(fact), F.lit(FACT_NUMBER), F.lit(1))
     before = F.lit(r"(?:section|sec|dhara|धारा|अनुच्छेद|article|art)\s*")
-    cited = F.forall(numbers, lambda n: F.regexp_like(r, F.concat(before, _escaped(strict_normal(n)), F.lit("(?![0-9A-Za-z])"))))
-    plain = F.contains(without_stopwords(r), without_stopwords(f))
-    return F.when(F.size(numbers) > 0, cited & _names_present(f, r, aliases)).otherwise(plain)
+
+    def held(v: Column) -> Column:
+        cited = F.forall(v["n"], lambda n: F.regexp_like(v["r"], F.concat(before, _escaped(strict_normal(n)), F.lit("(?![0-9A-Za-z])"))))
+        plain = F.contains(without_stopwords(v["r"]), without_stopwords(v["f"]))
+        return F.when(F.size(v["n"]) > 0, cited & _names_present(v["f"], v["r"], aliases)).otherwise(plain)
+
+    return let(F.struct(strict_normal(fact).alias("f"), strict_normal(response).alias("r"), numbers.alias("n")), held)
 
 
 def fact_tokens_present(fact: str | Column, response: str | Column, aliases: Aliases = DEMO) -> Column:
@@ -66,23 +69,26 @@ SCORE = "struct<fact: string, kind: string, score: double, reason: string>"
 def score_fact(fact: str | Column, response: str | Column, aliases: Aliases = DEMO, floor: float = FLOOR, **options) -> Column:
     """fact, kind, score, reason.  Citations score 0 or 1; others by overlap, if all their numbers occur."""
     f = _c(fact)
-    ft, rt = F.array_distinct(graded_tokens(f, **options)), graded_tokens(response, **options)
-    lost = F.array_sort(F.array_except(F.filter(ft, lambda t: t.rlike("^[0-9]+$")), rt))
-    n, hits = F.size(ft), F.size(F.array_intersect(ft, rt))
-    share = F.concat(hits.cast("string"), F.lit("/"), n.cast("string"))
-    ok = fact_present(f, response, aliases)
 
-    def row(kind: str, score: Column, reason: Column) -> Column:
-        return F.struct(f.alias("fact"), F.lit(kind).alias("kind"), score.cast("double").alias("score"), reason.alias("reason"))
+    def graded(v: Column) -> Column:
+        lost = F.array_sort(F.array_except(F.filter(v["ft"], lambda t: t.rlike("^[0-9]+$")), v["rt"]))
+        n, hits = F.size(v["ft"]), F.size(F.array_intersect(v["ft"], v["rt"]))
+        share = F.concat(hits.cast("string"), F.lit("/"), n.cast("string"))
+
+        def row(score: Column, reason: Column) -> Column:
+            return F.struct(v["f"].alias("fact"), F.lit("substance").alias("kind"), score.cast("double").alias("score"), reason.alias("reason"))
+
+        return (
+            F.when(n == 0, row(F.lit(0.0), F.lit("no tokens")))
+            .when(F.size(lost) > 0, row(F.lit(0.0), F.concat(F.lit("numbers missing: "), F.array_join(lost, ","))))
+            .when(hits == n, row(F.lit(1.0), F.lit("all tokens")))
+            .when(hits / n >= floor, row(F.round(hits / n, 4), F.concat(F.lit("partial: "), share)))
+            .otherwise(row(F.lit(0.0), F.concat(F.lit("below floor: "), share)))
+        )
 
-    return (
-        F.when(is_citation_fact(f), row("citation", F.when(ok, 1.0).otherwise(0.0), F.when(ok, F.lit("cited")).otherwise(F.lit("not cited"))))
-        .when(n == 0, row("substance", F.lit(0.0), F.lit("no tokens")))
-        .when(F.size(lost) > 0, row("substance", F.lit(0.0), F.concat(F.lit("numbers missing: "), F.array_join(lost, ","))))
-        .when(hits == n, row("substance", F.lit(1.0), F.lit("all tokens")))
-        .when(hits / n >= floor, row("substance", F.round(hits / n, 4), F.concat(F.lit("partial: "), share)))
-        .otherwise(row("substance", F.lit(0.0), F.concat(F.lit("below floor: "), share)))
-    )
+    own = F.struct(f.alias("f"), F.array_distinct(graded_tokens(f, **options)).alias("ft"), graded_tokens(response, **options).alias("rt"))
+    cited = let(fact_present(f, response, aliases), lambda ok: F.struct(f.alias("fact"), F.lit("citation").alias("kind"), F.when(ok, 1.0).otherwise(0.0).alias("score"), F.when(ok, F.lit("cited")).otherwise(F.lit("not cited")).alias("reason")))
+    return F.when(is_citation_fact(f), cited).otherwise(let(own, graded))
 
 
 def forbidden_present(fact: str | Column, response: str | Column, aliases: Aliases = DEMO, framings: tuple[str, ...] = FRAMINGS, repeals: tuple[str, ...] = REPEALS) -> Column:
@@ -146,7 +152,7 @@ def lint(fact: str | Column, most: int = 6, claims: tuple[str, ...] = CLAIMS, **
 def curate_columns(required: str | Column, forbidden: str | Column, gold: str | Column, **options) -> dict[str, Column]:
     """Facts that the gold answer itself satisfies stay; others are quarantined, with their score and lint."""
     g = _c(gold)
-    scored = F.transform(_c(required), lambda f: F.struct(f.alias("fact"), score_fact(f, g, **options)["score"].alias("gold_score"), score_fact(f, g, **options)["reason"].alias("reason"), lint(f, **options).alias("lint")))
+    scored = F.transform(_c(required), lambda f: let(score_fact(f, g, **options), lambda s: F.struct(f.alias("fact"), s["score"].alias("gold_score"), s["reason"].alias("reason"), lint(f, **options).alias("lint"))))
     kept = F.filter(scored, lambda s: s["gold_score"] == 1.0)
     out = F.filter(scored, lambda s: s["gold_score"] < 1.0)
     ban = F.transform(_c(forbidden), lambda f: F.struct(f.alias("fact"), lint(f, **options).alias("lint"), forbidden_present(f, g).alias("fires_on_gold")))

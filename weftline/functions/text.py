@@ -30,6 +30,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: str | Column) -> Column:
     """Lower-cased runs of a-z, 0-9 and Devanagari, in order, repeats included."""
     return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
