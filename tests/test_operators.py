@@ -12,7 +12,7 @@ from weftline.operators import index as I
 from weftline.operators import metrics as M
 from weftline.operators import records as R
 from weftline.operators import splits as S
-from weftline.plans.curating import writer
+from weftline.sources.sinks import scratch as writer
 
 
 def frame(spark, rows, schema):
@@ -35,6 +35,18 @@ def test_bm25_equals_a_plain_loop(spark):
     assert got == pytest.approx(want)
 
 
+def test_stored_index_equals_direct_search(spark, tmp_path):
+    rng = random.Random(7)
+    d = frame(spark, [(i, " ".join(rng.choice("abcdefg") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 20)))) for i in range(50)], "id int, t string")
+    q = frame(spark, [(1, "a b bb"), (2, "cc d d"), (3, "zzz")], "q int, t string")
+    title = F.substring("t", 1, 3)
+    at = f"file://{tmp_path}/index"
+    I.build_index(d, "id", "t", at, title=title)
+    a = I.search_index(spark, at, q, "q", "t", k=5).collect()
+    b = I.bm25(q, d, "q", "id", "t", "t", title, 5).withColumnRenamed("id", "doc").collect()
+    assert sorted(map(tuple, a)) == sorted((r["q"], r["doc"], r["score"], r["rank"]) for r in b)
+
+
 def test_ties_and_fusion(spark):
     d = frame(spark, [(1, "x"), (2, "x"), (3, "x")], "id int, t string")
     got = I.bm25(frame(spark, [(1, "x")], "q int, t string"), d, "q", "id", "t", "t").orderBy("rank").collect()

@@ -60,13 +60,46 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, quer
     tf = held.join(vocabulary, "token").groupBy(doc_key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("in_title").alias("in_title"))
     stats = length_stats(docs, doc_text)
     idf = document_frequencies(tf.select(doc_key, "token"), stats.select("n"))
-    found = asked.join(idf, "token").join(tf, "token").crossJoin(F.broadcast(stats.select("avg_len")))
+    return _scored(asked, tf.join(idf, "token"), stats.select("avg_len"), query_key, doc_key, k, k1, b, title_bonus)
+
+
+def _scored(asked: DataFrame, postings: DataFrame, avg_len: DataFrame, query_key: str, doc_key: str, k: int | None, k1: float, b: float, title_bonus: float) -> DataFrame:
+    """Ranks by query tokens (token, m) over postings (token, idf, tf, len, in_title)."""
+    found = asked.join(postings, "token").crossJoin(F.broadcast(avg_len))  # one row
     body = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     score = F.sum(F.col("m") * (body + F.when(F.col("in_title"), title_bonus * F.col("idf")).otherwise(0.0)))
     scored = found.groupBy(query_key, doc_key).agg(F.round(score, 6).alias("score")).where("score > 0")
     return ranked(scored, [query_key], [F.col("score").desc(), F.col(doc_key).desc()], k)
 
 
+def build_index(docs: DataFrame, doc_key: str, text: str, path: str, title: Column | None = None, shards: int = 64) -> None:
+    """Write an inverted index once: postings by token (sharded and sorted by it), and the collection's statistics.
+
+    Searches read only the shards of their tokens, and Parquet's statistics skip within them.
+    """
+    words = docs.select(F.col(doc_key).alias("doc"), tokens(text).alias("_t"), (F.array_distinct(tokens(title)) if title is not None else F.array().cast("array<string>")).alias("_title"))
+    held = words.select("doc", F.size("_t").alias("len"), "_title", F.explode("_t").alias("token"))
+    held = held.select("doc", "len", "token", F.array_contains("_title", F.col("token")).alias("in_title"))
+    tf = held.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("in_title").alias("in_title"))
+    stats = length_stats(docs, text)
+    shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")
+    tf.withColumn("shard", shard).repartition("shard", F.pmod(F.xxhash64("token"), F.lit(shards * 16))).sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    kept = docs.sparkSession.read.parquet(f"{path}/postings")
+    document_frequencies(kept.select("doc", "token"), stats.select("n")).withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/tokens")
+    stats.withColumn("shards", F.lit(shards)).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(spark, path: str, queries: DataFrame, query_key: str, text: str, k: int | None = None, k1: float = K1, b: float = B, title_bonus: float = TITLE_BONUS) -> DataFrame:
+    """``query_key``, doc, score, rank from a stored index; ranks equal those of ``bm25``."""
+    stats = spark.read.parquet(f"{path}/stats")
+    shards = stats.first()["shards"]
+    asked = queries.select(query_key, F.explode(tokens(text)).alias("token")).groupBy(query_key, "token").agg(F.count(F.lit(1)).alias("m"))
+    asked = asked.withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int"))
+    idf = spark.read.parquet(f"{path}/tokens").join(asked.select("shard", "token").distinct(), ["shard", "token"], "left_semi").select("shard", "token", "idf")
+    postings = spark.read.parquet(f"{path}/postings").join(idf, ["shard", "token"]).drop("shard")
+    return _scored(asked.drop("shard"), postings, stats.select("avg_len"), query_key, "doc", k, k1, b, title_bonus)
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
     """Adds rank from 1; with ``k``, only the first ``k`` of each group."""
     out = rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("int"))

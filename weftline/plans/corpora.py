@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import corpus as K
 from ..streaming import flows
+from ..sources.sinks import scratch_folder
 from .base import Tables, query
 
 
@@ -68,8 +68,7 @@ def stream_windows(t: Tables):
     spark = t.spark
     stream = flows.file_stream(spark, f"{t._dir}/events.parquet*", t.events.schema)
     days = flows.windowed(stream, "ts", ["event_type"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")], "1 day")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = days.writeStream.outputMode("complete").option("checkpointLocation", at + "-state").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(at)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(days.schema).parquet(at).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

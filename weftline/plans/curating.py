@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, similarity_normal, split_words, strict_normal
 from ..operators import curation as K
 from ..operators import records as R
+from ..sources.sinks import scratch
 from .base import Tables, query
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _WORDS = "list_distinct(list_filter(string_split({n}, ' '), lambda x: x <> ''))"
 
 
-def writer(spark):
-    """Save a table to the folder that the session names, or to a temporary one on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")
-
-    def write(df: DataFrame) -> DataFrame:
-        at = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-        df.write.parquet(at)
-        return spark.read.schema(df.schema).parquet(at)
-
-    return write
-
-
 @query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id),
 r AS (SELECT conv_id, roles, texts, list_filter(texts, lambda x, i: roles[i] = 'user')[1] AS q, texts[len(texts)] AS a FROM m),
 w AS (SELECT *, len(list_filter(string_split_regex(a, '\\s+'), lambda x: x <> '')) AS n FROM r)
@@ -86,7 +71,7 @@ SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM q) UNION AL
 def greedy_dedup(t: Tables):
     """Documents that stay when each is compared with kept earlier ones only."""
     sets = K.token_sets(t.documents, "doc_id", "text").where(F.size("words") > 0).select("doc_id", "words")
-    return K.greedy_keep(t.documents.select("doc_id"), K.jaccard_pairs(sets, None, "doc_id", 0.5), "doc_id", writer(t.spark))
+    return K.greedy_keep(t.documents.select("doc_id"), K.jaccard_pairs(sets, None, "doc_id", 0.5), "doc_id", scratch(t.spark))
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")

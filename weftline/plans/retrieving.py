@@ -9,6 +9,7 @@ from ..functions.text import percent, row_words, tokens, word_count
 from ..operators import context as X
 from ..operators import index as I
 from ..operators import records as R
+from ..sources.sinks import scratch
 from .base import Tables, query
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9ऀ-ॿ]+')"
@@ -113,7 +114,7 @@ z AS (SELECT item_id, doc_id, 0 AS pool, n FROM e UNION ALL
 
 def _composed(t: Tables):
     docs = t.documents.select("doc_id", "source", "text", "n_chars")
-    c = bm25(t, 50).join(docs.withColumnRenamed("text", "body"), "doc_id").join(t.benchmark, "item_id")
+    c = scratch(t.spark)(bm25(t, 50)).join(docs.withColumnRenamed("text", "body"), "doc_id").join(t.benchmark, "item_id")
     exact = c.where(F.contains("body", F.col("text"))).select("item_id", "doc_id", F.col("rank").alias("ord"))
     return I.compose(exact, c.select("item_id", "doc_id", "rank", "source"), "item_id", "doc_id", F.col("source") == "src0")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +68,20 @@ def metric_card(metrics: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
 def config_path(root: str, settings: dict) -> str:
     """A folder for a full configuration, so that experiments never replace each other."""
     return root + "".join(f"/{k}={settings[k]}" for k in sorted(settings))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that the session names and all executors share; a temporary one only where none is named."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")).rstrip("/")
+
+
+def scratch(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A step that writes a table to the shared folder and reads it back: computed once, and lineage is cut."""
+    root = scratch_folder(spark)
+
+    def write(df: DataFrame) -> DataFrame:
+        at = f"{root}/weftline-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return write
