@@ -15,12 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _WORD = r"[\p{L}\p{N}_]"
-_MARKER = "sections?|sec\\.?|articles?|art\\.?|dhara|धारा|अनुच्छेद"
+_MARKER = r"sec(?:tions?|\.)?|art(?:icles?|\.)?|dhara|अनुच्छेद|धारा"
 #: Java form; a number must end at a word border, sub-numbers in parentheses follow.
-CITATION = rf"(?i)((?:(?<!{_WORD})(?:{_MARKER})\s+|§\s*)[0-9]+[A-Za-z]{{0,2}}(?!{_WORD})(?:\({_WORD}+\))*)"
-_PY_CITATION = re.compile(rf"(?:(?<!\w)(?:{_MARKER})\s+|§\s*)\d+[A-Za-z]{{0,2}}(?!\w)(?:\(\w+\))*", re.I)
+CITATION = rf"(?i)((?:(?<!{_WORD})(?:{_MARKER})\s+|§\s*)[0-9]+[a-zA-Z]{{0,2}}(?!{_WORD})(?:\({_WORD}+\))*)"
+_PY_CITATION = re.compile(rf"(?:(?<!\w)(?:{_MARKER})\s+|§\s*)\d+[a-zA-Z]{{0,2}}(?!\w)(?:[(]\w+[)])*", re.I)
 #: A section-like number anywhere in a fact, glued or not.
-FACT_NUMBER = rf"(?i)(?:section|sec\.?|§|dhara|धारा|अनुच्छेद|article|art\.?)\s*([0-9]+[A-Za-z]{{0,2}}(?:\({_WORD}+\))*)"
+FACT_NUMBER = rf"(?i)(?:art(?:icle|\.)?|sec(?:tion|\.)?|dhara|अनुच्छेद|धारा|§)\s*([0-9]+[a-zA-Z]{{0,2}}(?:\({_WORD}+\))*)"
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def extract(text: str | Column) -> Column:
 def number(citation: str | Column) -> Column:
     """The section number, upper-case, without sub-numbers."""
     c = F.col(citation) if isinstance(citation, str) else citation
-    return F.upper(F.regexp_extract(c, r"([0-9]+[A-Za-z]{0,2})", 1))
+    return F.upper(F.regexp_extract(c, r"([0-9]+[a-zA-Z]{0,2})", 1))
 
 
 def is_citation_fact(fact: str | Column) -> Column:

@@ -21,7 +21,7 @@ UNITS = {w: i for i, w in enumerate(_SMALL)} | _TENS | {"hundred": 100}
 SCALES = {"thousand": 10**3, "lakh": 10**5, "lakhs": 10**5, "million": 10**6, "crore": 10**7, "crores": 10**7}
 #: Numerals that the strict matcher folds one by one; thirteen, sixteen to nineteen, forty, fifty, seventy and eighty aren't among them.
 STRICT_NUMERALS = {w: str(UNITS[w]) for w in (*_SMALL[1:13], "fourteen", "fifteen", "twenty", "thirty", "sixty", "ninety")}
-_MARKS = ".,;:!?\"'’‘“”`–—_/|।॥*#%&+=<>{}-"
+_MARKS = "!?.:;,\"'“”‘’`_|/—–॥।#%*&=+><}{-"
 PUNCT = "[\\\\\\[\\]" + _MARKS + "]"
 PUNCT_AND_PARENS = "[\\\\\\[\\]()" + _MARKS + "]"
 
@@ -133,7 +133,7 @@ def stem(word: Column) -> Column:
         return word.endswith(suffix) & (n - len(suffix) >= 3), F.concat(F.substring(word, F.lit(1), n - len(suffix)), F.lit(keep))
 
     out = F.when(~word.rlike(r"^[\x00-\x7f]*$") | word.rlike("^[0-9]+$") | (n <= 3), word)
-    for suffix, keep in (("ies", "y"), ("ing", ""), ("edly", ""), ("ed", ""), ("es", "")):
+    for suffix, keep in {"ies": "y", "ing": "", "edly": "", "ed": "", "es": ""}.items():
         out = out.when(*cut(suffix, keep))
     hit, value = cut("s")
     return out.when(hit & ~word.endswith("ss"), value).otherwise(word)

@@ -11,10 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SECTION_SCHEMA = "section string, title string, start int, stop int, body_start int"
-_NO_BREAK = r"(?:(?!\n[ \t]*\n)(?!\n\s*\[?\d{1,3}[A-Z]{0,2}\s?\.\s)[\s\S])"
-_START = re.compile(rf"^\s*\[?(?P<n>\d{{1,3}}[A-Z]{{0,2}})\s?\.\s*[—–―]{{0,2}}\s*(?P<title>{_NO_BREAK}{{3,300}}?)(?:\.\s*[-—–―]{{1,2}}|\s*[—–―]{{1,2}})", re.M)
-_GONE = re.compile(r"^\s*\[?(?P<n>\d{1,3}[A-Z]{0,2})\s?\.\s*\[(?P<title>[^\]\n]{3,200}?)\.?\]\s*(?=Omitted|Rep)", re.M)
-_INNER = re.compile(r"^\s*\d{1,3}[A-Z]{0,2}\.\s", re.M)
+_NUMBER = "[0-9]{1,3}[A-Z]{0,2}"
+_LONG_DASH = "[—–―]"
+#: A character of a title: no blank line and no next section begins there.
+_IN_TITLE = rf"(?:(?!\n[ \t]*\n|\n\s*\[?{_NUMBER}\s?[.]\s)[\s\S])"
+_LEAD = rf"^\s*\[?(?P<n>{_NUMBER})\s?[.]\s*"
+_START = re.compile(rf"{_LEAD}{_LONG_DASH}{{0,2}}\s*(?P<title>{_IN_TITLE}{{3,300}}?)(?:[.]\s*(?:-|{_LONG_DASH}){{1,2}}|\s*{_LONG_DASH}{{1,2}})", re.M)
+_GONE = re.compile(rf"{_LEAD}\[(?P<title>(?:(?!\]).){{3,200}}?)[.]?\](?=\s*(?:Omitted|Rep))", re.M)
+_INNER = re.compile(rf"^\s*{_NUMBER}[.]\s", re.M)
 
 
 def kept_spans(spans: str = "spans", height: str = "page_height", small: float = 7.5, note: float = 9.5, from_share: float = 0.78) -> Column:
@@ -72,8 +76,8 @@ def split_sections(acts: DataFrame, key: str, text: str, heading: str = r"CHAPTE
                 t = t or ""
                 marks = []
                 for m in line.finditer(t):
-                    rest = t[m.end() :].lstrip("\n")
-                    name = rest.split("\n", 1)[0].strip()
+                    rest = re.sub(r"\A\n+", "", t[m.end() :])
+                    name = rest.partition("\n")[0].strip()
                     named = name and name == name.upper() and not _START.match(rest)
                     marks.append((m.start(), f"{m[1].strip()} — {name.title()}" if named else m[1].strip()))
                 rows = []
@@ -118,7 +122,7 @@ def table_block(pages: DataFrame, page: str, header: str, numbered: str, part: s
 def _cell_numbers(cell: Column) -> Column:
     """Section numbers that begin lines of a cell."""
     lines = F.split(F.coalesce(cell, F.lit("")), "\n")
-    one = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^[ \t]*([0-9]{1,3})\.(?=\s|$)", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"^[ \t]*([0-9]{1,3}[A-Z]{1,2})\.?(?=\s|$)", 1), F.lit("")))
+    one = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^[ \t]*([0-9]{1,3})[.](?=$|\s)", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"^[ \t]*([0-9]{1,3}[A-Z][A-Z]?)[.]?(?=$|\s)", 1), F.lit("")))
     return F.array_compact(F.transform(lines, one))
 
 

@@ -13,7 +13,8 @@ from .context import prompt
 from .curation import near_pairs
 from .records import allocate, gold_keys, is_miss, round_robin, task_id
 
-BARE = r"(?i)(?<![\p{L}\p{N}_])(?:(ABBR)\s+([0-9]+[A-Za-z]{0,2})|([0-9]+[A-Za-z]{0,2})\s+(ABBR))(?![\p{L}\p{N}_])"
+Synonyms = list[tuple[str, str]]
+BARE = r"(?i)(?<![\p{L}\p{N}_])(?:(ABBR)\s+([0-9]+[a-zA-Z]{0,2})|([0-9]+[a-zA-Z]{0,2})[\s]+(ABBR))(?![\p{L}\p{N}_])"
 YEARS = r"(?i)may extend to ([a-z0-9-]+(?: [a-z0-9-]+)?) years?"
 LEAST_YEARS = r"(?i)not be less than ([a-z0-9-]+(?: [a-z0-9-]+)?) years?"
 FINE = r"(?i)fine which may extend to ([a-z0-9,]+(?: [a-z]+){0,3}) rupees"
@@ -53,7 +54,7 @@ def bare_references(text: str | Column, abbreviations: tuple[str, ...]) -> Colum
     c = F.col(text) if isinstance(text, str) else text
     pattern = BARE.replace("ABBR", "|".join(abbreviations))
     hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    number = lambda h: F.upper(F.regexp_extract(h, r"([0-9]+[A-Za-z]{0,2})(?![\p{L}\p{N}_])", 1))
+    number = lambda h: F.upper(F.regexp_extract(h, r"([0-9]+[a-zA-Z]{0,2})(?![\p{L}\p{N}_])", 1))
     family = lambda h: F.lower(F.regexp_extract(h, rf"(?i)(?<![\p{{L}}\p{{N}}_])({'|'.join(abbreviations)})(?![\p{{L}}\p{{N}}_])", 1))
     return F.transform(hits, lambda h: F.struct(family(h).alias("family"), number(h).alias("section")))
 
@@ -182,7 +183,7 @@ def positions(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.withColumn("pos", (F.row_number().over(w.orderBy(order)) - 1) / F.count(F.lit(1)).over(w))
 
 
-def pick_synonyms(synonyms: DataFrame, version: str) -> list[tuple[str, str]]:
+def pick_synonyms(synonyms: DataFrame, version: str) -> Synonyms:
     """One version's (phrase, expansion) in order, for ``index.expand``; a later duplicate keeps the first one's place.
 
     A synonym table is a configuration: it must have fewer than 100,000 rows.

@@ -88,7 +88,7 @@ ITEMS = "array<map<string,string>>"
 
 def parse_items(raw: str) -> Column:
     """The first JSON list of objects in an answer: fenced blocks first, then the whole text."""
-    blocks = F.concat(F.regexp_extract_all(F.col(raw), F.lit(r"```(?:json)?\s*([\s\S]*?)```"), F.lit(1)), F.array(F.col(raw)))
+    blocks = F.concat(F.regexp_extract_all(F.col(raw), F.lit(r"[`]{3}(?:json)?([\s\S]*?)[`]{3}"), F.lit(1)), F.array(F.col(raw)))
     lists = F.transform(blocks, lambda b: F.regexp_extract(b, r"(\[[\s\S]*\])", 1))
     parsed = F.filter(F.transform(lists, lambda x: F.from_json(F.nullif(x, F.lit("")), ITEMS)), lambda v: v.isNotNull() & F.exists(v, lambda o: o.isNotNull()))
     return F.get(parsed, F.lit(0))
@@ -105,7 +105,7 @@ def parse_answers(rows: DataFrame, key: str, raw: str, first: str = "question",
 def plain_answer(raw: str | Column, least: int = 20) -> Column:
     """The answer without a leading label; null if it has fewer than ``least`` words."""
     c = F.col(raw) if isinstance(raw, str) else raw
-    t = F.regexp_replace(F.trim(c), r"(?i)^(answer|उत्तर)\s*[:：]\s*", "")
+    t = F.regexp_replace(F.trim(c), r"(?i)^(?:उत्तर|answer)[\s]*[：:][\s]*", "")
     return F.when(F.size(split_words(t)) >= least, t)
 
 

@@ -94,7 +94,7 @@ def leakage_semijoin(t: Tables):
     return shared.where("k >= 0.8 * n").select("doc_id").distinct()
 
 
-_STRICT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({c}), '§', ' section '), '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g'), '[\\\\\\[\\].,;:!?\"''’‘“”`–—_/|।॥*#%&+=<>{{}}-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_STRICT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({c}), '§', ' section '), '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g'), '[\\\\\\[\\]!?.:;,\"''“”‘’`_|/—–॥।#%*&=+><}}{{-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"""WITH m AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS q, arg_min(text, turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id),

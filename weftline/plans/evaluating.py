@@ -31,7 +31,7 @@ def _stem(w: str) -> str:
 
 def _graded(c: str) -> str:
     """SQL of a text's graded tokens, for texts without compound numerals."""
-    t = _STRICT.format(c=c).replace("{}-]", "{}()-]").replace("<>{", "<>(){", 1)
+    t = _STRICT.format(c=c).replace("><}{", "><()}{")
     return f"list_transform(list_filter(list_transform(string_split({t}, ' '), lambda w: coalesce(map_extract({_UNITS}, w)[1], w)), lambda w: w <> '' AND NOT list_contains({_STOP}, w)), lambda w: {_stem('w')})"
 
 

@@ -150,7 +150,7 @@ def _cited(t: Tables):
 
 _CITED = """c AS (SELECT o_orderkey, o_orderkey % 37 AS x, o_custkey % 53 AS y, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE '' END AS sfx,
  'See Section ' || (o_orderkey % 37) || '(2) of the alpha act' || CASE WHEN o_custkey % 3 = 0 THEN rpad('; ', 200, 'x ') ELSE '; ' END || 'then Sec. ' || (o_custkey % 53) || CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE '' END || ' old code, not 34xyz.' AS text FROM orders)"""
-_CITE_RE = r"(?i)(?:\b(?:sections?|sec\.?|articles?|art\.?|dhara)\s+|§\s*)[0-9]+[A-Za-z]{0,2}\b(?:\(\w+\))*"
+_CITE_RE = r"(?i)(?:\b(?:sec(?:tions?|\.)?|art(?:icles?|\.)?|dhara)\s+|§\s*)[0-9]+[a-z]?[a-z]?\b(?:[(]\w+[)])*"
 
 
 def _laws(t: Tables):
