@@ -109,16 +109,19 @@ def resolve(rows: DataFrame, key: str, text: str, whitelist: DataFrame, aliases:
     nearest to the citation; without one, the only family that the whole text
     names.  ``whitelist`` (act, section) holds what exists.
     """
-    found = rows.select(F.col(key), F.posexplode(spans(F.col(text), aliases)).alias("ord", "s"))
-    cited = found.where("s.family is null").select(key, "ord", F.col("s.start").alias("a"), F.col("s.end").alias("z"), F.col("s.text").alias("citation"))
-    named = found.where("s.family is not null").select(key, F.col("s.start").alias("p"), F.col("s.family").alias("family"))
-    sole = named.groupBy(key).agg(F.countDistinct("family").alias("_n"), F.min("family").alias("_only"))
-    near = cited.join(named, key).where((F.col("p") >= F.col("a") - window) & (F.col("p") <= F.col("z") + window))
-    distance = F.greatest(F.col("a") - F.col("p"), F.col("p") - F.col("z"), F.lit(0))
-    best = near.groupBy(key, "ord").agg(F.min(F.struct(distance.alias("d"), F.col("p"), F.col("family"))).alias("_b"))
-    out = cited.join(best, [key, "ord"], "left").join(sole, key, "left")
-    act = F.coalesce(F.col("_b.family"), F.when(F.col("_n") == 1, F.col("_only")))
-    out = out.select(key, "ord", "citation", number("citation").alias("section"), act.alias("act"))
+    s = rows.select(F.col(key), spans(F.col(text), aliases).alias("_s"))
+    cited, named = F.filter("_s", lambda x: x["family"].isNull()), F.filter("_s", lambda x: x["family"].isNotNull())
+    s = s.select(key, cited.alias("_c"), named.alias("_n"), F.array_distinct(F.transform(named, lambda x: x["family"])).alias("_f"))
+    sole = F.when(F.size("_f") == 1, F.get("_f", F.lit(0)))
+
+    def attributed(c: Column) -> Column:
+        near = F.filter("_n", lambda a: (a["start"] >= c["start"] - window) & (a["start"] <= c["end"] + window))
+        distance = lambda a: F.greatest(c["start"] - a["start"], a["start"] - c["end"], F.lit(0))
+        best = F.array_min(F.transform(near, lambda a: F.struct(distance(a).alias("d"), a["start"].alias("p"), a["family"].alias("family"))))
+        return F.struct(c["text"].alias("citation"), number(c["text"]).alias("section"), F.coalesce(best["family"], sole).alias("act"))
+
+    # all of a text's spans meet within its row: the whitelist is the only join
+    out = s.select(key, F.posexplode(F.transform("_c", attributed)).alias("ord", "r")).select(key, "ord", "r.*")
     known = whitelist.select("act", F.upper("section").alias("section"), F.lit(True).alias("resolved")).distinct()
     return out.join(known, ["act", "section"], "left").select(key, "ord", "citation", "section", "act", F.coalesce("resolved", F.lit(False)).alias("resolved"))
 

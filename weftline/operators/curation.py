@@ -72,7 +72,10 @@ def jaccard_pairs(left: DataFrame, right: DataFrame | None, key: str, threshold:
         flat = rows.select(F.col(key).alias(name), F.size("words").alias(f"n_{name}"), F.explode("words").alias("w")).join(df, "w")
         place = F.row_number().over(W.partitionBy(name).orderBy("df", "w"))
         most = F.col(f"n_{name}") - F.ceil(threshold * F.col(f"n_{name}")) + 1
-        return flat.withColumn("_p", place).where(F.col("_p") <= most).select(name, f"n_{name}", "w")
+        # a fixed number of tasks: pairs are many more than the rows whose size Spark sees here
+        return flat.withColumn("_p", place).where(F.col("_p") <= most).select(name, f"n_{name}", "w").repartition(parts, "w")
+
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     a, b = prefix(left, "a"), prefix(left if right is None else right, "b")
     met = a.join(b, "w").where((F.col("a") > F.col("b")) if right is None else F.lit(True))
@@ -110,6 +113,7 @@ def near_pairs(left: DataFrame, right: DataFrame | None, key: str, text: str, th
     # the ratio can't exceed twice the shorter length over the sum of both
     la, lb = F.length("_x"), F.length("_y")
     t = t.where((F.col("_x") != F.col("_y")) & (2 * F.least(la, lb) > threshold * (la + lb)))
+    t = t.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")  # the ratio is what costs
     near = t.withColumn("_r", sequence_ratio("_x", "_y")).where(F.col("_r") > threshold)
     return near.select("a", "b").unionByName(same.select("a", "b")).distinct()
 

@@ -65,7 +65,11 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, quer
 
 def _scored(asked: DataFrame, postings: DataFrame, avg_len: DataFrame, query_key: str, doc_key: str, k: int | None, k1: float, b: float, title_bonus: float) -> DataFrame:
     """Ranks by query tokens (token, m) over postings (token, idf, tf, len, in_title)."""
-    found = asked.join(postings, "token").crossJoin(F.broadcast(avg_len))  # one row
+    # postings are spread by document before queries multiply them: scores add up where they are, without a
+    # shuffle of all matches, and the fixed number keeps small postings from ending in one task
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = postings.crossJoin(F.broadcast(avg_len)).repartition(n, doc_key)  # one row of statistics
+    found = postings.join(asked, "token")
     body = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     score = F.sum(F.col("m") * (body + F.when(F.col("in_title"), title_bonus * F.col("idf")).otherwise(0.0)))
     scored = found.groupBy(query_key, doc_key).agg(F.round(score, 6).alias("score")).where("score > 0")
