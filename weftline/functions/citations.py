@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,17 +87,20 @@ def spans(text: Column, aliases: Aliases = DEMO) -> Column:
     """Spans of citations (family null) and of act names; an Arrow UDF, as the JVM has no all-positions regex."""
     compiled = [(f, re.compile(_python_alias(n))) for f, names in aliases.families.items() for n in names]
 
-    @F.pandas_udf(SPANS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = []
-            for t in s:
+    @F.arrow_udf(SPANS)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            at, rows = [0], []
+            for t in column.to_pylist():
                 t = t or ""
                 low = t.lower()
-                rows = [{"start": m.start(), "end": m.end(), "family": None, "text": m[0]} for m in _PY_CITATION.finditer(t)]
-                rows += [{"start": m.start(), "end": m.end(), "family": f, "text": m[0]} for f, p in compiled for m in p.finditer(low)]
-                out.append(rows)
-            yield pd.Series(out)
+                rows += [(m.start(), m.end(), None, m[0]) for m in _PY_CITATION.finditer(t)]
+                rows += [(m.start(), m.end(), f, m[0]) for f, p in compiled for m in p.finditer(low)]
+                at.append(len(rows))
+            flat = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            types = (pa.int32(), pa.int32(), pa.string(), pa.string())
+            struct = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, types, strict=True)], names=["start", "end", "family", "text"])
+            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), struct)
 
     return find(text)
 
