@@ -114,3 +114,12 @@ def test_query_equals_brute_force(spark, sf):
     d = f"/root/testdata/{sf}"
     urls = [r["url"] for r in spark.read.parquet(f"{d}/pages.parquet").select("url").collect()]
     assert judged(op10_url_filter(spark, d).collect()) == brute(urls)
+
+
+def test_unlabelled_pages_dont_share_a_blocked_branch(spark):
+    urls = ["http://a.com/de/1"] + [f"http://a.com/{lang}/{i}" for lang in ("en", "es") for i in range(40)] + [f"http://b.org/x/{i}" for i in range(3)]
+    got = {r["path"] + "@" + r["host"]: r for r in m.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == len(urls) and got["/de/1@a.com"]["verdict"] == "block" and got["/de/1@a.com"]["template"] == "/?/<n>"
+    rest = [r for k, r in got.items() if k.startswith(("/en/", "/es/"))]
+    # no label of their own: the host's share, smoothed towards the overall 1 of 4
+    assert {(r["template"], r["verdict"], round(r["purity"], 9)) for r in rest} == {("/*/<n>", "allow", 0.4)}

@@ -7,10 +7,11 @@ fits its host and all subdomains if the path starts with ``/path``; the longest
 Per host, paths form a tree of segments.  Level by level, a segment that looks
 variable (digits, hex, very long) becomes a class token; a literal becomes ``*`` if
 too few pages have it, or if its share of blocked labels doesn't differ from that
-of its siblings by ``z`` standard errors: similar branches merge.  Labels are the
-rules' own verdicts.  A template is blocked if its purity, the share of blocked
-labels smoothed towards its host's and that towards the overall share, reaches
-``cut``.
+of its siblings by ``z`` standard errors: similar branches merge.  Branches without
+labels can't be tested: they merge among themselves as ``*``, and the labelled ones
+beside them that merge are ``?``.  Labels are the rules' own verdicts.  A template is
+blocked if its purity, the share of blocked labels smoothed towards its host's and
+that towards the overall share, reaches ``cut``.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; pages
 without any label near them get the overall share, so ``allow`` unless most labels
@@ -88,13 +89,16 @@ def template_tree(shapes: DataFrame, min_pages: int = 5, z: float = 2.58, weight
         rows = rows.withColumn("_seg", F.get("_parts", F.lit(level)))
         inner = rows.where("_seg is not null")
         child = inner.groupBy("host", "template", "_seg").agg(*sums, F.count(F.lit(1)).alias("_rows"))
-        node = child.groupBy("host", "template").agg(*[F.sum(f"_{c}").alias(f"_all_{c}") for c in ("labelled", "blocked")])
+        token = F.col("_seg").rlike(r"^(<\w+>.*|\*\*)$")
+        unknown = F.max(~token & (F.col("_labelled") == 0)).alias("_unknown")
+        node = child.groupBy("host", "template").agg(*[F.sum(f"_{c}").alias(f"_all_{c}") for c in ("labelled", "blocked")], unknown)
         child = child.join(node, ["host", "template"])
         rest, rest_blocked = F.col("_all_labelled") - F.col("_labelled"), F.col("_all_blocked") - F.col("_blocked")
         pooled = (F.col("_all_blocked") + 0.5) / (F.col("_all_labelled") + 1)
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("_labelled") + 1 / rest))
         apart = (F.col("_labelled") > 0) & (rest > 0) & (F.abs(F.col("_blocked") / F.col("_labelled") - rest_blocked / rest) >= z * error)
-        name = F.when(F.col("_seg").rlike(r"^(<\w+>.*|\*\*)$"), F.col("_seg")).when((F.col("_n") >= min_pages) & apart, F.col("_seg")).otherwise(F.lit("*"))
+        merged = F.when((F.col("_labelled") > 0) & F.col("_unknown"), "?").otherwise("*")  # no segment holds a "?"
+        name = F.when(token, F.col("_seg")).when((F.col("_n") >= min_pages) & apart, F.col("_seg")).otherwise(merged)
         child = child.select("host", "template", "_seg", "_rows", name.alias("_name"))
         done = rows.where("_seg is null").drop("_seg")
         moved = salted_lookup(inner, child, ["host", "template", "_seg"], "_rows", total)
