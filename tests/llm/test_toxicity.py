@@ -103,3 +103,33 @@ def test_one_class_or_no_labels(spark):
     assert m.fit([("a", False)] * 3).doc[0] < 0
     none = m.fit_on(empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert m.score(documents(spark), none).count() == 12
+
+
+def test_texts_beyond_the_bound_leave_the_others_in_the_sample(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(900)]
+    ids = [r["id"] for r in spark.range(600).orderBy(F.xxhash64("id"), "id").collect()]
+    texts = {i: rng.choices(plain, k=40) + (["grumbles", "vexite", "snarkful"] if i % 3 == 0 else []) for i in ids}
+    sampled = [i for i in ids if zlib.crc32(str(i).encode()) % 5]
+    first = {c: next(i for i in sampled if (i % 3 == 0) == c) for c in (True, False)}
+    for c, most in ((True, m.MOST_TOXIC_BYTES), (False, m.MOST_CLEAN_BYTES)):
+        part = " ".join(rng.choices(plain, k=2000) + ["vexite"] * (200 * c)) + " "
+        texts[first[c]] = [part * (most // len(part) + 2)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in ids], "doc_id long, quality int, toxic int")
+    got = m.score(docs, m.fit_on(docs, labels)).where("held_out").collect()
+    assert len(got) > 80 and np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in got]) > 0.97
+
+
+def test_excerpts_are_bounded_and_of_whole_words():
+    text = " ".join(f"wörd{i}" for i in range(5000))
+    whole = set(text.split())
+    for most in (100, 2048, 30_000):
+        cut = m._excerpt(text.encode(), most)
+        assert most / 2 < len(cut) <= most and set(cut.decode().split()) <= whole
+    assert m._excerpt(text.encode(), 1 << 20) == text.encode()
+    assert len(m._excerpt(("é" * 9000).encode(), 3001).decode()) > 1000

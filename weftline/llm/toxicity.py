@@ -16,8 +16,9 @@ depend on the text alone.
 
 Scale: the fit reads at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled documents
 (chosen by a hash of the doc_id), whatever the size of the corpus, within
-``MOST_TOXIC_BYTES`` and ``MOST_CLEAN_BYTES`` of text; scoring is one pass without a shuffle, with 8 MB of
-weights broadcast.
+``MOST_TOXIC_BYTES`` and ``MOST_CLEAN_BYTES`` of text.  Where a class has more, its
+longest texts give excerpts of equal size, so that none drops out for another's
+length.  Scoring is one pass without a shuffle, with 8 MB of weights broadcast.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import code_points, give_back, lower, mix64, sliced, span_hashes, texts, words
@@ -37,6 +38,8 @@ from .ngram_join import gram_sets, minwise
 #: Labelled documents of each class that the fit may read, and their bytes.
 MOST_TOXIC, MOST_TOXIC_BYTES = 1500, 4 << 20
 MOST_CLEAN, MOST_CLEAN_BYTES = 4500, 12 << 20
+#: Bytes of one window of an excerpt, and the least that a text may be cut to.
+EXCERPT, LEAST_BYTES = 512, 2048
 BITS = 20
 WINDOW = 32
 PREFIXES = (3, 4, 5, 6)
@@ -345,8 +348,9 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     parts = [y.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(n) for c, n in ((True, MOST_TOXIC), (False, MOST_CLEAN))]
     chosen = parts[0].unionByName(parts[1])  # 6000 narrow rows at most, whatever the corpus: safe to broadcast
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    size = F.sum(F.octet_length("text")).over(_by_class())
     most = F.when(F.col("toxic"), MOST_TOXIC_BYTES).otherwise(MOST_CLEAN_BYTES)
+    found = _excerpts(found, _levels(found, most))
+    size = F.sum(F.octet_length("text")).over(_by_class())  # beyond ``most`` only where doc_ids repeat
     kept = found.withColumn("_size", size).where(F.col("_size") <= most).select("doc_id", "text", "toxic")
     rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in kept.toLocalIterator()), key=lambda r: (r[0], r[1]))
     try:
@@ -356,6 +360,52 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
         give_back()
 
 
+def _levels(found: DataFrame, most: Column) -> dict[bool, int]:
+    """By class, the bytes above which texts are cut so that all fit into ``most``; no entry where they fit whole."""
+    from pyspark.sql import Window as W
+
+    by = W.partitionBy("toxic").orderBy("_size")
+    sizes = found.groupBy("toxic", F.octet_length("text").cast("long").alias("_size")).agg(F.count(F.lit(1)).alias("_n"))
+    shorter = F.coalesce(F.sum(F.col("_size") * F.col("_n")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum("_n").over(by.rowsBetween(0, W.unboundedFollowing))
+    share = F.floor((most - shorter) / left)
+    over = sizes.withColumn("_share", share).where(F.col("_share") < F.col("_size"))
+    # shares fall from the first size that doesn't fit on, so the largest is that one's
+    return {r["toxic"]: max(LEAST_BYTES, r["_level"]) for r in over.groupBy("toxic").agg(F.max("_share").alias("_level")).collect()}
+
+
+def _excerpt(text: bytes, most: int) -> bytes:
+    """``most`` bytes at most: windows spread evenly over the text, without the words that their borders split."""
+    if len(text) <= most:
+        return text
+    n = max(1, most // EXCERPT)
+    size = most // n - 1
+    out = []
+    for i in range(n):
+        at = i * (len(text) - size) // max(1, n - 1)
+        piece = text[at : at + size]
+        if at and not text[at - 1 : at].isspace() and len(parts := piece.split(None, 1)) == 2:
+            piece = parts[1]
+        if at + size < len(text) and not text[at + size : at + size + 1].isspace() and len(parts := piece.rsplit(None, 1)) == 2:
+            piece = parts[0]
+        out.append(piece)
+    return b"\n".join(out).decode(errors="ignore").encode()
+
+
+def _excerpts(found: DataFrame, levels: dict[bool, int]) -> DataFrame:
+    """``found`` (doc_id, text, toxic) with the texts above their class's level cut to it."""
+    if not levels:
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            toxic = batch.column(2).to_pylist()
+            cut = [_excerpt(t.encode(), levels[c]) if c in levels else t.encode() for t, c in zip(batch.column(1).to_pylist(), toxic, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary()).cast(pa.string()), batch.column(2)], names=["doc_id", "text", "toxic"])
+
+    return found.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic boolean")
+
+
 def _by_class():
     from pyspark.sql import Window as W
 
