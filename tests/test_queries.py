@@ -68,3 +68,16 @@ def test_near_duplicates_equal_all_pairs(spark):
     firsts = sorted({norm.index(n) for n in norm if n})
     want |= {(a, b) for a in firsts for b in firsts if a > b and SequenceMatcher(None, norm[a], norm[b]).ratio() > 0.92}
     assert got == want and (1, 0) in got
+
+
+def test_turns_of_long_conversations_are_rows_of_their_own(spark, tmp_path):
+    said = "one two three four five six seven eight nine ten"
+    near = said + "s"
+    # turn 1000 and 1001 of conversation 1 beside turn 0 and 1 of conversation 2
+    rows = [(1, i, "user", f"turn{i} of{i} its{i} own{i}") for i in range(1000)] + [(1, 1000, "user", said), (1, 1001, "user", "p q r"), (2, 0, "user", near), (2, 1, "user", "P q, r")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, said), (8, "p q r")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.QUERIES["near_duplicates"](spark, str(tmp_path)).collect()
+    assert sorted((tuple(r["a"]), tuple(r["b"])) for r in got) == [((2, 0), (1, 1000)), ((2, 1), (1, 1001))]
+    got = registry.QUERIES["leaking_turns"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r["id"]) for r in got) == [(1, 1000), (1, 1001), (2, 0), (2, 1)]

@@ -65,7 +65,7 @@ def jaccard_pairs(left: DataFrame, right: DataFrame | None, key: str, threshold:
     Prefix filter: with words ordered by rarity, sets that similar share a word among
     their first size - ceil(threshold * size) + 1.  Candidates meet on those words alone.
     """
-    both = left if right is None else left.unionByName(right)
+    both = left.select("words") if right is None else left.select("words").unionByName(right.select("words"))  # keys may differ in type
     df = both.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(rows: DataFrame, name: str) -> DataFrame:

@@ -56,7 +56,7 @@ def exact_normal_matches(t: Tables):
 @query()
 def near_duplicates(t: Tables):
     """Pairs of conversation turns that are near duplicates by word sets and sequence ratio."""
-    c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    c = t.conversations.select(F.struct("conv_id", "turn").alias("id"), "text")
     return K.near_pairs(c, None, "id", "text")
 
 

@@ -123,7 +123,7 @@ def joined_records(t: Tables):
 @query()
 def leaking_turns(t: Tables):
     """Conversation turns that nearly equal an item."""
-    c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    c = t.conversations.select(F.struct("conv_id", "turn").alias("id"), "text")
     return N.leaking(c, "id", [("text", "text")], t.benchmark, "item_id")
 
 
