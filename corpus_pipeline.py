@@ -8,7 +8,8 @@ Each stage's output is written as Parquet and read again as the next one's input
    stay in the largest doc_id only; texts are rewritten, all documents stay.
 3. ngram_join: of every class of similar documents, the one of least doc_id stays.
 4. mixing: sources are mixed to their target weights; a document comes once per
-   pass that takes words of it, cut where its source's target ends.
+   pass that takes words of it, cut where its source's target ends, in the order
+   of the schedule's slots.
 5. sentencepieces: every row is segmented; the result has the first sample's ids
    and digests of all samples; rows that repeat a doc_id are rows of their own.
 

@@ -75,3 +75,46 @@ def test_empty_tables(spark):
     assert m.mixed_texts(empty(spark)).count() == 0
     none = documents(spark).where("doc_id in (4, 5, 10)")
     assert [r["taken"] for r in m.mixed_documents(none).collect()] == [0, 0, 0]
+
+
+def test_rows_follow_the_schedule(spark, monkeypatch):
+    from hashlib import md5
+    from itertools import accumulate
+    from math import ceil, floor
+
+    monkeypatch.setattr(m, "SLOTS_PER_PART", 16)
+    rows = [(i, " ".join(f"w{k}" for k in range(1 + i * 7 % 90)), "abcc"[i % 4]) for i in range(240)]
+    block = 64
+    # blocks of each source, and the slots that golden-ratio points give them
+    sizes = Counter()
+    for _, t, c in rows:
+        sizes[c] += words(t)
+    goal = {c: floor(g + 0.5) for c, g in level(dict(sizes), m.WEIGHTS).items()}
+    names = sorted(goal)
+    need = {c: ceil(goal[c] / block) for c in names}
+    total, high = sum(need.values()), list(accumulate(need[c] for c in names))
+    slot, had = {}, Counter()
+    for s in range(total):
+        u = (s + 1) * m.GOLDEN % 1
+        c = next(c for c, h in zip(names, high, strict=True) if u < h / total)
+        if had[c] < need[c]:
+            slot[c, had[c]] = s
+        had[c] += 1
+    lack = sorted((b, c) for c in names for b in range(had[c], need[c]))
+    slot |= {(c, b): total + i for i, (b, c) in enumerate(lack)}
+    want, first = [], {}
+    for c in names:
+        at = 0
+        for i, n in sorted(((i, words(t)) for i, t, s in rows if s == c), key=lambda r: md5(str(r[0]).encode()).hexdigest()):
+            for p in (0, 1):
+                a = at + p * sizes[c]
+                z = min(a + n, goal[c])
+                if z > a:
+                    want.append((slot[c, a // block], p, at, i, z - a))
+                    first[i] = min(first.get(i, 10**9), *(slot[c, b] for b in range(a // block, (z - 1) // block + 1)))
+            at += n
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = m.mixed_texts(df, block=block)
+    assert out.rdd.getNumPartitions() > 2
+    assert [(r["doc_id"], words(r["text"])) for r in out.collect()] == [r[3:] for r in sorted(want)]
+    assert {r["doc_id"]: r["first_slot"] for r in m.mixed_documents(df, block=block).collect() if r["taken"]} == first

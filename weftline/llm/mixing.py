@@ -37,6 +37,8 @@ WEIGHTS = (3, 1, 2)
 GOLDEN = 0.6180339887498949
 #: Rows that one prefix-sum task should hold.
 BUCKET_ROWS = 20_000
+#: Slots that one partition of the mixed texts should hold, and the most partitions.
+SLOTS_PER_PART, MOST_PARTS = 512, 10_000
 
 
 def with_sizes(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -193,30 +195,40 @@ def _first_words(text: bytes, n: int) -> bytes:
     return text[: end[n - 1]] if n <= len(end) else text
 
 
-def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "") -> DataFrame:
+def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "", block: int = 4096) -> DataFrame:
     """The mix as rows of ``docs``: each document once per pass that takes words of it.
 
+    Rows follow in order of the schedule: each in the slot of the block where it
+    begins, and by pass and place in its stream within a slot.  Partitions are ranges
+    of slots, so the files that are written from them are sorted by name.
     A document at a source's end is cut after the words taken.  Documents without
     words or beyond their source's goal aren't in the mix.  The columns are those
     of ``docs``; n_chars, if there, follows the text.
     """
     names = docs.columns
-    flat = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.struct(*names).alias("_row"), "text")
-    sizes, goals, n = sized(flat, weights, share, most, carry=("_row",))
-    rows = by_pass(shuffled_streams(sizes, n, seed), goals).where("_z > _a")
-    rows = rows.select(F.col("_row"), (F.col("_z") - F.col("_a")).alias("_words"), F.col("size").alias("_size"))
-    whole = rows.where("_words = _size").select("_row.*")
-    cut = rows.where("_words < _size")
+    packed = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.struct(*names).alias("_row"), "text")
+    sizes, goals, n = sized(packed, weights, share, most, carry=("_row",))
+    plan = saved(schedule(goals, block), "mix-schedule")
+    slots = (plan.agg(F.max("slot")).first()[0] or 0) + 1
+    rows = by_pass(shuffled_streams(sizes, n, seed), goals).where("_z > _a").withColumn("block_no", F.floor(F.col("_a") / block))
+    rows = rows.join(plan, ["source_key", "block_no"])
+    flat = [F.col("_row").getField(c).alias(f"c{i}") for i, c in enumerate(names)]
+    place = ["slot", "pass_no", "from_word"]
+    rows = rows.select("_row", *[F.col(c).cast("long") for c in place], (F.col("_z") - F.col("_a")).alias("_words"), F.col("size").alias("_size"))
+    whole = rows.where("_words = _size").select(*flat, *place)
+    cut = rows.where("_words < _size").select(*flat, *place, "_words")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [_first_words(t.encode(), w) for t, w in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            columns = batch.columns[: len(names)]
+            short = [_first_words(t.encode(), w) for t, w in zip(batch.column(at).to_pylist(), batch.column("_words").to_pylist(), strict=True)]
+            columns = batch.columns[:-1]
             columns[at] = pa.array(short, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    cut = cut.select(*[F.col("_row").getField(c).alias(f"c{i}") for i, c in enumerate(names)], "_words").mapInArrow(run, docs.schema)
+    cut = cut.mapInArrow(run, whole.schema)
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(cut.select(*names))
+        cut = cut.withColumn(f"c{names.index('n_chars')}", F.length(f"c{at}").cast(docs.schema["n_chars"].dataType))
+    parts = min(-(-slots // SLOTS_PER_PART), MOST_PARTS)
+    out = whole.unionByName(cut).repartitionById(parts, F.floor(F.col("slot") * parts / slots).cast("int"))
+    return out.sortWithinPartitions(*place).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
