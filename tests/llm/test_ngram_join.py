@@ -15,7 +15,7 @@ def brute(rows, n=3, threshold=0.5):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] == sets[j] or both and both >= threshold * (len(sets[i]) + len(sets[j]) - both):
+            if (rows[i][1] or "") == (rows[j][1] or "") or both and both >= threshold * (len(sets[i]) + len(sets[j]) - both):
                 links[i] += 1
                 links[j] += 1
                 a, b = group[i], group[j]
@@ -64,13 +64,41 @@ def test_hot_buckets_are_split(spark, monkeypatch):
 
 
 def test_block_pairs_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(m, "DEPTH", 1)
-    monkeypatch.setattr(m, "LEAF", 8)
     monkeypatch.setattr(m, "BLOCK", 16)
+    monkeypatch.setattr(m, "BLOCK_GRAMS", 500)
     rows = corpus(240, 5)
     check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_paths_go_deeper_than_the_sure_levels(spark, monkeypatch):
+    """Sets that share a passage but aren't alike part at last; none of their links is lost."""
+    monkeypatch.setattr(m, "LEAF", 8)
+    monkeypatch.setattr(m, "SURE", 1)
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(18))
+    rows = [(i, passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(120)]
+    rows += [(1000 + i, t) for i, t in rows[:5]] + [(2000 + i, t + " tail of more words") for i, t in rows[5:10]]
+    levels = []
+    kept = m._grow
+    monkeypatch.setattr(m, "_grow", lambda *a: levels.append(kept(*a)) or levels[-1])
+    check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert levels[0][2] > 1 and len(levels) == 2
+
+
+def test_texts_without_words_stay_apart(spark):
+    rows = [(1, "+---+"), (2, "!!! ???"), (3, "{}; ();"), (4, ""), (5, None), (6, "+---+"), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(spark, rows, df)
+    assert sorted(r["doc_id"] for r in m.one_per_class(df).collect()) == [1, 2, 3, 4, 7]
+
+
+def test_clashing_names_pass_unchanged(spark):
+    names = ["doc_id", "text", "_w_id", "_w_th", "a.b", "row", "id", "th", "c0"]
+    df = spark.createDataFrame([(1, "one two three four", "keep", "x", 5, 6, 7, 8, 9), (2, "one two three four", "gone", "y", 5, 6, 7, 8, 9)], names)
+    got = m.one_per_class(df)
+    assert got.columns == names and [tuple(r) for r in got.collect()] == [(1, "one two three four", "keep", "x", 5, 6, 7, 8, 9)]
+
+
 def test_one_per_class(spark):
     df = documents(spark)
     kept = m.one_per_class(df)
@@ -86,7 +114,7 @@ def test_empty_table(spark):
 
 
 def test_runs_reach_the_recall():
-    assert m.runs_for(0.5, 0.99) > m.runs_for(0.5, 0.9) > m.runs_for(0.8, 0.9)
+    assert m.runs_for(0.5, 0.99, 5) > m.runs_for(0.5, 0.99, 3) > m.runs_for(0.5, 0.9, 3) > m.runs_for(0.8, 0.9, 3)
 
 
 def test_components_of_a_chain(spark):

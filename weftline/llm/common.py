@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
@@ -65,6 +65,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of ``docs`` as one struct, so that a step's own columns can't clash with them."""
+    return F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias(name)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, name: str = "row") -> DataFrame:
+    """The columns of ``docs`` from the struct of ``packed``."""
+    return rows.select(*[F.col(name).getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string column; null counts as empty."""
     if column.null_count:

@@ -5,23 +5,28 @@ A text's set holds the hashes of its n-grams of words (lower-cased, see
 Texts with equal sets form one node.  Each set is embedded as ``HASHES`` minwise
 samples.  A run starts at a root that chooses two of the samples; sets that share
 a chosen sample meet in a bucket.  Buckets of more than ``LEAF`` sets choose two
-samples again, each by its own seed, down to ``DEPTH`` levels; leaves are searched
-by brute force.  Runs repeat until a pair at the threshold is found with
-probability ``recall``; more similar pairs are found more surely.  In a leaf, pairs
+samples again, each by its own seed, as often as it takes; small ones are searched
+by brute force.  From level ``SURE`` on, a bucket whose sets resemble one another
+on average by nearly the threshold is searched by brute force too: its pairs are
+mostly results, and splitting it would only repeat them.  Runs repeat until a pair
+at the threshold is found with probability ``recall``, further ones for the sets
+whose paths went deeper; more similar pairs are found more surely.  In a leaf, pairs
 pass a filter on sample agreement and then are verified exactly on whole texts.
 Every pair is verified in the first leaf that both its sets are in, so that links
 can be counted where they are found: no pair is ever shuffled, only each node's
 link count and one edge to a neighbour.
 
-Defined cases: null and empty texts have empty sets, which equal one another and
-resemble nothing else; a null doc_id counts as -2**63; rows that repeat are
-separate documents, linked as copies; an empty table gives an empty result.
+Defined cases: texts without words, such as punctuation only, are compared as whole
+texts: they equal their exact copies and resemble nothing else; a null text is an
+empty one; a null doc_id counts as -2**63; rows that repeat are separate documents,
+linked as copies; an empty table gives an empty result; columns of any name pass.
 
 Scale: buckets hold (bucket, set digest).  A leaf that stays larger than ``BLOCK``
-is split into blocks, and each pair of blocks is a task's group of at most
-2 * BLOCK sets; nothing is cut off.  Lookups by a hot bucket or digest broadcast
-only keys with more than a thousandth of all rows.  Texts are shuffled once for
-nodes with candidates.
+sets, or, where texts are read, ``BLOCK_GRAMS``, is split into blocks, and each pair
+of blocks is a task's group; nothing is cut off.  Lookups by a hot bucket, digest,
+vertex or label broadcast only keys with more than a thousandth of all rows.  Texts
+that share no candidate pair stay where they are, by a Bloom filter of bounded size;
+the others move once to their node and then to the leaves that own one of its pairs.
 """
 
 from __future__ import annotations
@@ -31,17 +36,26 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower, mix64, salted_lookup, saved, sliced, span_hashes, texts, words
+from .common import col, lower, mix64, packed, salted_lookup, saved, sliced, span_hashes, texts, unpacked, words
 
 HASHES = 64
 LEAF = 256
 BLOCK = 512
-DEPTH = 3
+#: Grams that the sets of one block should hold where their texts are read.
+BLOCK_GRAMS = 2_000_000
+#: Levels that are split by size alone, and how near a bucket's mean similarity must come to the threshold below them.
+SURE = 3
+NEAR = 0.8
+#: Sets of a bucket whose pairs show its mean similarity.
+SAMPLE = 64
 BRANCH = 2
+#: Largest filter of the rows whose texts are read, in bits.
+MOST_BITS = 1 << 28
 _NO_ID = -(2**63)
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -105,14 +119,17 @@ def _signatures(n: int):
             sig = minwise(grams, off)
             raw = grams.astype("<u8").tobytes()
             digests = [hashlib.blake2b(raw[a * 8 : b * 8], digest_size=16).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            data, at = texts(batch.column(2))
+            for r in np.flatnonzero(np.diff(off) == 0).tolist():  # no words: the text itself is compared
+                digests[r] = hashlib.blake2b(data[at[r] : at[r + 1]].tobytes(), digest_size=16, person=b"text").digest()
             columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(np.diff(off).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "digest", "grams", "sig"])
 
     return run
 
 
-def runs_for(threshold: float, recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met in a leaf with probability ``recall``."""
+def runs_for(threshold: float, recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold has met in a leaf of that depth with probability ``recall``."""
     f = 1.0
     for _ in range(depth):
         f = 1 - (1 - threshold * f) ** BRANCH
@@ -136,9 +153,9 @@ def _sig_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _root(runs: int):
+def _root(first: int, last: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = mix64(np.arange(runs, dtype=np.uint64) + np.uint64(77))
+        roots = mix64(np.arange(first, last, dtype=np.uint64) + np.uint64(77))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -160,24 +177,61 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), batch.column(1).take(index)], names=["bucket", "digest"])
 
 
-def leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """bucket, digest, n: leaf buckets of two or more sets and how many they hold."""
-    sigs = sets.where("grams > 0").select("digest", "sig")
-    rows = sigs.mapInArrow(_root(runs), "bucket long, digest binary")
-    done = None
-    for level in range(DEPTH):
-        rows = saved(rows.distinct() if level else rows, f"paths-{level}")
+def _resemblance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket and the mean agreement of its sampled sets' signatures."""
+    for batch in _groups(batches, 1):
+        bucket, sig = batch.column(0).to_numpy(), _sig_matrix(batch.column(1))
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        last = np.concatenate((first[1:], [len(bucket)]))
+        mean = []
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            n = b - a
+            same = sum(int((np.unique(c, return_counts=True)[1].astype(np.int64) ** 2).sum()) for c in sig[a:b].T)
+            mean.append((same / HASHES - n) / (n * (n - 1)) if n > 1 else 1.0)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(mean, pa.float64())], names=["bucket", "mean"])
+
+
+def _grow(sigs: DataFrame, first: int, last: int, threshold: float) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Leaves (bucket, digest, n) of the runs from ``first`` to ``last``, the sets that went beyond ``SURE``, and the depth."""
+    rows = sigs.mapInArrow(_root(first, last), "bucket long, digest binary")
+    done, deep, level = [], None, 1
+    while True:
+        rows = saved(rows, f"paths-{level}")
         total = rows.count()
         counts = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("n", F.col("rows")), f"sizes-{level}")
         sized = salted_lookup(rows, counts, ["bucket"], "rows", total).where("n is not null")
-        last = level == DEPTH - 1
-        leaf = sized if last else sized.where(F.col("n") <= LEAF)
-        done = leaf if done is None else done.unionByName(leaf)
-        if last or not counts.where(F.col("n") > LEAF).limit(1).count():
-            break
-        big = sized.where(F.col("n") > LEAF).join(sigs, "digest").select("bucket", "digest", "sig")
-        rows = big.mapInArrow(_descend, "bucket long, digest binary")
-    return done
+        done.append(sized.where(F.col("n") <= LEAF))
+        if not counts.where(F.col("n") > LEAF).limit(1).count():
+            return done, deep, level
+        big = sized.where(F.col("n") > LEAF).join(sigs, "digest").select("bucket", "digest", "sig", "n")
+        if level >= SURE:
+            big = saved(big, f"big-{level}")
+            few = big.where(F.pmod(F.xxhash64("digest", "bucket"), F.col("n")) < SAMPLE).select("bucket", "sig")
+            mean = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resemblance, "bucket long, mean double")
+            mean = counts.where(F.col("n") > LEAF).select("bucket", "rows").join(mean, "bucket")
+            big = salted_lookup(big, saved(mean, f"means-{level}"), ["bucket"], "rows", total)
+            alike = F.coalesce(F.col("mean") >= NEAR * threshold, F.lit(False))
+            done.append(big.where(alike).select("bucket", "digest", "n"))
+            big = saved(big.where(~alike), f"apart-{level}")
+            if not big.limit(1).count():
+                return done, deep, level
+            deep = big.select("digest") if deep is None else deep.unionByName(big.select("digest"))
+        rows = big.select("bucket", "digest", "sig").mapInArrow(_descend, "bucket long, digest binary")
+        level += 1
+
+
+def leaves(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """bucket, digest, n: leaf buckets of two or more sets and how many they hold."""
+    sigs = sets.where("grams > 0").select("digest", "sig")
+    runs = runs_for(threshold, recall, SURE)
+    done, deep, level = _grow(sigs, 0, runs, threshold)
+    if deep is not None:  # longer paths part more pairs, so their sets take more runs
+        more = runs_for(threshold, recall, level)
+        done += _grow(sigs.join(saved(deep.distinct(), "deep"), "digest", "left_semi"), runs, more, threshold)[0]
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int = 3, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -212,24 +266,76 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int = 3, most: int = 8 << 2
         yield piece(held)
 
 
-def _pairs(batch: pa.RecordBatch, threshold: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of owned candidate pairs within the groups of a piece."""
+def _nibbles(sig: np.ndarray) -> np.ndarray:
+    """rows x HASHES / 16 words of four bits of every sample."""
+    four = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64).reshape(len(sig), -1, 16)
+    return np.bitwise_or.reduce(four << (np.uint64(4) * np.arange(16, dtype=np.uint64)), 2)
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many nibbles are equal."""
+    d = x ^ y
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return HASHES - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            small = [x.tobytes() for x in _nibbles(_sig_matrix(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["digest", "grams", "sketch"])
+
+
+class _Lists:
+    """Lists of numbers, end to end; which of several lists' elements another list holds is one lookup in a table of marks."""
+
+    def __init__(self, off: np.ndarray, flat: np.ndarray):
+        self.off, self.size = off, np.diff(off)
+        self.values, dense = np.unique(flat, return_inverse=True)
+        self.dense = dense.astype(np.int64).reshape(-1)
+        self.mark = np.zeros(len(self.values), bool)
+
+    def held(self, a: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Elements of ``others`` end to end, whether list ``a`` holds each, and where each list begins."""
+        size = self.size[others]
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(self.off[others] - first, size)
+        own = self.dense[self.off[a] : self.off[a + 1]]
+        self.mark[own] = True
+        flat = self.dense[at]
+        hit = self.mark[flat]
+        self.mark[own] = False
+        return flat, hit, first
+
+
+def _by_first(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each distinct i, its js, and their places; parts of bounded size."""
+    order = np.argsort(i, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], i[order][1:] != i[order][:-1]))).tolist() if len(i) else []
+    for a, b in zip(cuts, [*cuts[1:], len(i)], strict=True):
+        for k in range(a, b, 1024):
+            at = order[k : min(k + 1024, b)]
+            yield int(i[at[0]]), j[at], at
+
+
+def _pairs(batch: pa.RecordBatch, threshold: float, slack: float, owned: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of candidate pairs within the groups of a piece; with ``owned``, of those whose first bucket it is."""
     bucket, lo, hi = (batch.column(i).to_numpy() for i in range(3))
     blk, grams = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-    sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, HASHES)
-    mine = batch.column(7)
+    sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(len(bucket), -1)
     new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
     first = np.flatnonzero(new)
     size = np.diff(np.concatenate((first, [len(bucket)])))
     out_i, out_j = [], []
-    least = threshold * HASHES - slack * HASHES
+    least = (threshold + (1 - threshold) / 16 - slack) * HASHES  # nibbles agree by chance once in 16
 
     def test(i: np.ndarray, j: np.ndarray) -> None:
         ok = (np.minimum(grams[i], grams[j]) >= threshold * np.maximum(grams[i], grams[j])) & ((lo[i] == hi[i]) | (blk[i] != blk[j]))
         i, j = i[ok], j[ok]
-        for at in range(0, len(i), 100_000):
-            a, b = i[at : at + 100_000], j[at : at + 100_000]
-            good = (sketch[a] == sketch[b]).sum(1) >= least
+        for at in range(0, len(i), 200_000):
+            a, b = i[at : at + 200_000], j[at : at + 200_000]
+            good = _agreement(sketch[a], sketch[b]) >= least
             out_i.append(a[good])
             out_j.append(b[good])
 
@@ -242,31 +348,39 @@ def _pairs(batch: pa.RecordBatch, threshold: float, slack: float) -> tuple[np.nd
         for k in range(0, len(at), step):
             test((at[k : k + step, None] + x).reshape(-1), (at[k : k + step, None] + y).reshape(-1))
     i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_i, out_j))
-    if not len(i):
+    if not len(i) or not owned:
         return i, j
     # a pair belongs to the least bucket that both are in
-    off = mine.offsets.to_numpy().astype(np.int64)
-    flat = mine.values.to_numpy()
-    sets: dict[int, frozenset] = {}
+    mine = batch.column(7)
+    lists = _Lists(mine.offsets.to_numpy().astype(np.int64) - mine.offsets[0].as_py(), mine.flatten().to_numpy())
     own = np.zeros(len(i), bool)
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        if a not in sets:
-            sets[a] = frozenset(flat[off[a] : off[a + 1]].tolist())
-        if b not in sets:
-            sets[b] = frozenset(flat[off[b] : off[b + 1]].tolist())
-        own[k] = min(sets[a] & sets[b]) == bucket[a]
+    for a, others, at in _by_first(i, j):
+        flat, hit, start = lists.held(a, others)
+        least_shared = np.minimum.reduceat(np.where(hit, flat, len(lists.values)), start)
+        own[at] = lists.values[np.minimum(least_shared, len(lists.values) - 1)] == bucket[a]
     return i[own], j[own]
 
 
-_MEMBER = "bucket long, lo int, hi int, digest binary, blk int, grams int, sketch binary, mine array<long>"
+_MEMBER = "bucket long, lo int, hi int, digest binary, blk int, grams int, sketch binary"
+
+
+def _placed(rows: DataFrame, blocks: Column, carry: list[str]) -> DataFrame:
+    """Rows (bucket, digest, grams, sketch, ``carry``) sorted in groups of (bucket, lo, hi): each pair of a bucket's blocks is one."""
+    rows = rows.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("bucket", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "digest", "blk", "grams", "sketch", *carry)
+    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
 
+def _partners(threshold: float, slack: float, owned: bool):
+    """bucket, digest of the rows that have a candidate pair in their group."""
 
-def _candidates(threshold: float, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
-            i, j = _pairs(batch, threshold, slack)
+            i, j = _pairs(batch, threshold, slack, owned)
             if len(i):
-                yield batch.take(pa.array(np.unique(np.concatenate((i, j)))))
+                rows = pa.array(np.unique(np.concatenate((i, j))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows)], names=["bucket", "digest"])
 
     return run
 
@@ -276,63 +390,103 @@ def _verify(threshold: float, slack: float, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
-            i, j = _pairs(batch, threshold, slack)
+            i, j = _pairs(batch, threshold, slack, True)
             if not len(i):
                 continue
             rows = np.unique(np.concatenate((i, j)))
-            sets: dict[int, np.ndarray] = {}
+            parts, sizes = [], np.zeros(batch.num_rows, np.int64)
             for part in _small([pa.RecordBatch.from_arrays([pa.array(rows), batch.column(9).take(pa.array(rows))], names=["row", "text"])], "text"):
                 grams, off = gram_sets(part.column(1), n)
-                for k, r in enumerate(part.column(0).to_pylist()):
-                    sets[r] = grams[off[k] : off[k + 1]]
+                parts.append(grams)
+                sizes[part.column(0).to_numpy()] = np.diff(off)
+            sets = _Lists(np.concatenate(([0], np.cumsum(sizes))), np.concatenate(parts))
             docs = batch.column(8).to_numpy()
-            links: dict[int, int] = {}
-            parent = {r: r for r in rows.tolist()}
-
-            def find(x: int, parent: dict[int, int] = parent) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                x, y = sets[a], sets[b]
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                if shared >= threshold * (len(both) - shared):
-                    links[a] = links.get(a, 0) + int(docs[b])
-                    links[b] = links.get(b, 0) + int(docs[a])
-                    parent[find(a)] = find(b)
-            if links:
-                found = list(links)
-                digests = batch.column(3)
-                yield pa.RecordBatch.from_arrays([digests.take(pa.array(found)), pa.array([links[r] for r in found], pa.int64()), digests.take(pa.array([find(r) for r in found]))], names=["digest", "links", "root"])
+            linked = np.zeros(len(i), bool)
+            for a, others, at in _by_first(i, j):
+                _, hit, start = sets.held(a, others)
+                shared = np.add.reduceat(hit, start, dtype=np.int64)
+                linked[at] = shared >= threshold * (sizes[a] + sizes[others] - shared)
+            i, j = i[linked], j[linked]
+            if not len(i):
+                continue
+            links = np.zeros(batch.num_rows, np.int64)
+            np.add.at(links, i, docs[j])
+            np.add.at(links, j, docs[i])
+            root = np.arange(batch.num_rows)  # least row of each component: labels fall along links until none changes
+            while True:
+                low = np.minimum(root[i], root[j])
+                before = root.copy()
+                np.minimum.at(root, i, low)
+                np.minimum.at(root, j, low)
+                root = root[root]
+                if (root == before).all():
+                    break
+            found = np.flatnonzero(links)
+            digests = batch.column(3)
+            yield pa.RecordBatch.from_arrays([digests.take(pa.array(found)), pa.array(links[found]), digests.take(pa.array(root[found]))], names=["digest", "links", "root"])
+
+    return run
+
+
+def _only(var, bits: int):
+    @F.pandas_udf("boolean")
+    def run(h: pd.Series) -> pd.Series:
+        at = h.to_numpy().view(np.uint64) & np.uint64(bits - 1)
+        bitmap = np.frombuffer(var.value, np.uint8)
+        return pd.Series((bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0)
 
     return run
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose keys ``wanted`` lacks, by a Bloom filter of at most ``MOST_BITS``."""
+    spark = rows.sparkSession
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy())
+            part = at >> 16
+            for k in np.unique(part).tolist():
+                bitmap, own = parts.setdefault(k, np.zeros(1 << 13, np.uint8)), at[part == k] & 0xFFFF
+                np.bitwise_or.at(bitmap, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        for k, b in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b.tobytes()], pa.binary())], names=["part", "bitmap"])
+
+    slots = wanted.select(F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    whole = bytearray(bits // 8)
+    for r in slots.repartition(F.shiftright("slot", 16)).mapInArrow(build, "part int, bitmap binary").toLocalIterator():  # of bounded size
+        whole[r["part"] << 13 : (r["part"] + 1) << 13] = bytes(r["bitmap"])
+    return rows.where(_only(spark.sparkContext.broadcast(bytes(whole)), bits)(F.xxhash64(*keys)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """digest, label: the least digest that each vertex of (digest, root) edges is connected to.
 
     Labels spread along edges and then along themselves, so that chains halve at
-    every round; every round's table is written, which cuts lineage.
+    every round; every round's table is written, which cuts lineage.  Vertices of many
+    edges and labels of many vertices are looked up by broadcast, so none is a hot task.
     """
     both = edges.select(F.col("digest").alias("a"), F.col("root").alias("b")).where("a <> b")
     both = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    total = both.count()
+    label = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count(F.lit(1)).alias("degree")), "labels")
+    vertices = label.count()
     while True:
-        near = both.join(label.select(F.col("a").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        spread = label.join(near, "a").select("a", F.least("label", "theirs").alias("label"), F.col("label").alias("old"))
-        far = label.select(F.col("a").alias("label"), F.col("label").alias("beyond"))
-        spread = spread.join(far, "label", "left").select("a", F.least("label", F.coalesce("beyond", "label")).alias("label"), "old")
-        spread = saved(spread, "labels")
-        label = spread.select("a", "label")
+        near = salted_lookup(both, label.select(F.col("a").alias("b"), F.col("label").alias("theirs"), "degree"), ["b"], "degree", total)
+        near = near.groupBy("a").agg(F.min("theirs").alias("theirs"))
+        spread = label.join(near, "a").select("a", "degree", F.least("label", "theirs").alias("label"), F.col("label").alias("old"))
+        held = spread.groupBy("label").agg(F.count(F.lit(1)).alias("held"))
+        far = held.join(label.select(F.col("a").alias("label"), F.col("label").alias("beyond")), "label")
+        spread = salted_lookup(spread, far, ["label"], "held", vertices)
+        spread = saved(spread.select("a", "degree", F.least("label", F.coalesce("beyond", "label")).alias("label"), "old"), "labels")
+        label = spread.select("a", "label", "degree")
         if not spread.where("label <> old").limit(1).count():
             return label.select(F.col("a").alias("digest"), "label")
 
 
-def similarity_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, slack: float = 0.19) -> DataFrame:
+def similarity_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, slack: float = 0.25) -> DataFrame:
     """doc_id, th, class_id, class_th, set_id, n_grams, n_links: one row per row of ``docs``.
 
     Documents are linked if their sets' Jaccard similarity is at least ``threshold``.
@@ -340,42 +494,51 @@ def similarity_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, reca
     component; its id is its least doc_id.  ``th`` hashes the text; (class_id,
     class_th) name the row that represents the class.  ``set_id`` is equal just for
     equal sets.  ``slack``: how far sample agreement may fall short of the threshold
-    before exact verification is spared; three standard deviations.
+    before exact verification is spared; four standard deviations.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     rows = saved(keyed.mapInArrow(_signatures(n), "doc_id long, th long, digest binary, grams int, sig binary"), "signatures")
     sets = saved(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("grams").alias("grams"), F.first("sig").alias("sig")), "sets")
-    runs = runs_for(threshold, recall)
-    leaf = leaves(sets, runs)
-    # each set with all its leaves: at most BRANCH ** DEPTH a run
-    mine = leaf.groupBy("digest").agg(F.collect_set(F.struct("bucket", "n")).alias("leaves"))
-    member = sets.select("digest", "grams", "docs", "rep", "sig").join(mine, "digest")
-    member = member.withColumn("sketch", F.expr(f"unhex(array_join(transform(sequence(0, {HASHES - 1}), i -> substring(hex(sig), i * 8 + 1, 2)), ''))"))
-    member = member.select("digest", "grams", "docs", "rep", "sketch", F.col("leaves.bucket").alias("mine"), F.explode("leaves").alias("leaf"))
-    blocks = F.when(F.col("leaf.n") > BLOCK, F.ceil(F.col("leaf.n") / BLOCK)).otherwise(1).cast("int")
-    member = member.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
-    member = member.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    member = member.select(F.col("leaf.bucket").alias("bucket"), F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "digest", "blk", "grams", "sketch", "mine", "docs", "rep")
-    kinds = f"{_MEMBER}, docs long, rep struct<doc_id: long, th: long>"
-    grouped = member.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    near = saved(grouped.mapInArrow(_candidates(threshold, slack), kinds), "candidates")
-    need = near.select("digest", "rep").distinct().select("digest", "rep.doc_id", "rep.th")
-    text = keyed.join(need, ["doc_id", "th"]).select("digest", "text").dropDuplicates(["digest"])
-    full = near.drop("rep").join(text, "digest").select("bucket", "lo", "hi", "digest", "blk", "grams", "sketch", "mine", "docs", "text")
-    full = full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    small = sets.where("grams > 0").select("digest", "grams", "sig").mapInArrow(_sketches, "digest binary, grams int, sketch binary")
+    # sketches alone first: which sets of a leaf have a candidate there
+    member = leaves(sets, threshold, recall).join(small, "digest")
+    met = _placed(member, F.ceil(F.when(F.col("n") > BLOCK, F.col("n")).otherwise(1) / BLOCK), [])
+    met = saved(met.mapInArrow(_partners(threshold, slack, False), "bucket long, digest binary"), "met").distinct()
+    # then which leaf owns their pairs: the first that both are in
+    mine = saved(met.groupBy("digest").agg(F.sort_array(F.collect_list("bucket")).alias("mine")), "leaves").join(small, "digest")
+    mine = mine.select("digest", "grams", "sketch", "mine", F.explode("mine").alias("bucket"))
+    near = _placed(_sized(mine), F.ceil(F.col("n") / BLOCK), ["mine"])
+    near = saved(near.mapInArrow(_partners(threshold, slack, True), "bucket long, digest binary"), "near").distinct()
+    # whole texts of these alone
+    need = saved(near.select("digest").distinct().join(sets.select("digest", "docs", "rep"), "digest").select("digest", "docs", "rep.doc_id", "rep.th"), "need")
+    text = _maybe(keyed, need, ["doc_id", "th"]).join(need, ["doc_id", "th"]).select("digest", "docs", "text").dropDuplicates(["digest"])
+    info = mine.join(near, ["digest", "bucket"], "left_semi")
+    full = _sized(info).join(text, "digest")
+    full = _placed(full, F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_GRAMS)), ["mine", "docs", "text"])
     found = saved(full.mapInArrow(_verify(threshold, slack, n), "digest binary, links long, root binary"), "links")
     linked = found.groupBy("digest").agg(F.sum("links").alias("links")).join(components(found.select("digest", "root")), "digest", "left")
     known = sets.select("digest", "docs", "rep").join(linked, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    heads = known.groupBy("label").agg(F.min("rep").alias("head"))
-    known = known.join(heads, "label").select("digest", "docs", F.col("head.doc_id").alias("class_id"), F.col("head.th").alias("class_th"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = saved(known, "nodes")
+    heads = known.groupBy("label").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("nodes"))
+    known = salted_lookup(known, heads, ["label"], "nodes", known.count())
+    known = known.select("digest", "docs", F.col("head.doc_id").alias("class_id"), F.col("head.th").alias("class_th"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = salted_lookup(rows.select("doc_id", "th", "digest", "grams"), known, ["digest"], "docs", rows.count())
     real = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))
     return out.select(real.alias("doc_id"), "th", "class_id", "class_th", F.lower(F.hex("digest")).alias("set_id"), F.col("grams").alias("n_grams"), "n_links")
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` with n, the number of rows of their bucket, and total, the grams of their sets."""
+    rows = saved(rows, "placed")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("grams").alias("total")).withColumn("n", F.col("rows"))
+    return salted_lookup(rows, sizes, ["bucket"], "rows", rows.count())
+
+
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that represent their classes, unchanged: those of least doc_id."""
-    kept = similarity_classes(docs, **options).select("class_id", "class_th").distinct()
-    keyed = docs.withColumn("_w_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_w_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = kept.select(F.col("class_id").alias("_w_id"), F.col("class_th").alias("_w_th"))
-    return keyed.join(kept, ["_w_id", "_w_th"], "left_semi").dropDuplicates(["_w_id", "_w_th"]).select(*docs.columns)
+    """The rows of ``docs`` that represent their classes, unchanged: those of least doc_id.
+
+    Rows that repeat a representative's doc_id and text give one of them.
+    """
+    kept = similarity_classes(docs, **options).select(F.col("class_id").alias("id"), F.col("class_th").alias("th")).distinct()
+    keyed = docs.select(F.coalesce(col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce(col("text"), F.lit(""))).alias("th"), packed(docs))
+    return unpacked(keyed.join(kept, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]), docs)
