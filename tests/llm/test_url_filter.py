@@ -34,7 +34,7 @@ def rule(host, path):
 def shape(path):
     parts = [x for x in path.split("/") if x]
     out = []
-    for s in parts[: m.LEVELS]:
+    for s in parts:
         ext = (re.search(r"\.[A-Za-z]{1,5}$", s) or [""])[0]
         stem = s[: len(s) - len(ext)]
         if re.fullmatch("[0-9]+", stem):
@@ -46,7 +46,7 @@ def shape(path):
         elif len(s) > 48:
             s = "<long>" + ext
         out.append(s)
-    return out + ["**"] * (len(parts) > m.LEVELS)
+    return out
 
 
 def brute(urls, min_pages=5, z=2.58, weight=4.0):
@@ -64,6 +64,8 @@ def brute(urls, min_pages=5, z=2.58, weight=4.0):
             child[r["host"], r["t"], r["parts"][level]].update(c)
             node[r["host"], r["t"]].update(c)
         name = {}
+        token = lambda s: re.match(r"<\w+>", s)
+        unknown = {(h, t) for (h, t, s), c in child.items() if not token(s) and not c["l"]}
         for (h, t, s), c in child.items():
             all_ = node[h, t]
             rest, rb = all_["l"] - c["l"], all_["b"] - c["b"]
@@ -71,7 +73,8 @@ def brute(urls, min_pages=5, z=2.58, weight=4.0):
             if c["l"] and rest:
                 p = (all_["b"] + 0.5) / (all_["l"] + 1)
                 apart = abs(c["b"] / c["l"] - rb / rest) >= z * sqrt(p * (1 - p) * (1 / c["l"] + 1 / rest))
-            name[h, t, s] = s if re.match(r"<\w+>|\*\*$", s) or c["n"] >= min_pages and apart else "*"
+            merged = "?" if c["l"] and (h, t) in unknown else "*"  # branches without labels merge among themselves
+            name[h, t, s] = s if token(s) or c["n"] >= min_pages and apart else merged
         for r in live:
             r["t"] += "/" + name[r["host"], r["t"], r["parts"][level]]
     leaf, host = defaultdict(Counter), defaultdict(Counter)
@@ -109,6 +112,16 @@ def test_branches_that_differ_stay_apart(spark):
     assert {r["template"].split("/")[1] for r in got} >= {"fr", "de"}
 
 
+def test_paths_of_any_depth(spark):
+    deep = "/".join(f"s{i}" for i in range(3000))
+    urls = [f"http://h.com/{deep}", "http://h.com/a/b/c/d/e/f/g/1", "http://h.com/a/b/c/d/e/f/k/2"]
+    urls += [f"http://k.com/1/2/3/4/5/6/7/{lang}/{i}" for lang in ("x", "y") for i in range(20)]
+    urls += [f"http://h.com/{lang}/q/q/q/q/q/q/q/{i}" for lang in ("fr", "de") for i in range(20)]
+    got = m.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert judged(got) == brute(urls)
+    assert max(r["template"].count("/") for r in got) == 3000
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_equals_brute_force(spark, sf):
     d = f"/root/testdata/{sf}"

@@ -15,11 +15,12 @@ that towards the overall share, reaches ``cut``.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; pages
 without any label near them get the overall share, so ``allow`` unless most labels
-block; segments beyond ``LEVELS`` are one wildcard; rows that repeat repeat their
-verdict; an empty table gives an empty result.
+block; rows that repeat repeat their verdict; an empty table gives an empty result.
 
 Scale: pages are aggregated to (host, path classes) before the tree is grown, so
-each level works on distinct shapes; lookups by a hot host or path go through
+each level works on distinct shapes.  A shape alone in its node has no siblings to be
+tested against, so all its further segments are named at once: there are as many levels
+as shapes of one host share templates, not as the longest path has segments.  Lookups by a hot host or path go through
 ``salted_lookup``.  Rules are a list of at most ``MOST_RULES``.
 """
 
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import salted_lookup, saved
 
-LEVELS = 6
 MOST_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -74,8 +74,11 @@ def _segment(s: Column) -> Column:
 def shape_of(path: Column) -> Column:
     """The path's non-empty segments, each generalised alone, joined by ``/``."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    kept = F.transform(F.slice(parts, 1, LEVELS), _segment)
-    return F.concat(F.array_join(kept, "/"), F.when(F.size(parts) > LEVELS, F.lit("/**")).otherwise(F.lit("")))
+    return F.array_join(F.transform(parts, _segment), "/")
+
+
+def _token(segment: Column) -> Column:
+    return segment.rlike(r"^<\w+>")
 
 
 def template_tree(shapes: DataFrame, min_pages: int = 5, z: float = 2.58, weight: float = 4.0) -> DataFrame:
@@ -83,15 +86,15 @@ def template_tree(shapes: DataFrame, min_pages: int = 5, z: float = 2.58, weight
     rows = shapes.withColumn("_parts", F.filter(F.split("shape", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
     rows = saved(rows, "shapes")
     total = rows.count()
-    deepest = rows.agg(F.max(F.size("_parts"))).first()[0] or 0
     sums = [F.sum(c).alias(f"_{c}") for c in ("n", "labelled", "blocked")]
-    for level in range(deepest):
+    level = 0
+    while (rows.agg(F.max(F.size("_parts"))).first()[0] or 0) > level:
         rows = rows.withColumn("_seg", F.get("_parts", F.lit(level)))
         inner = rows.where("_seg is not null")
         child = inner.groupBy("host", "template", "_seg").agg(*sums, F.count(F.lit(1)).alias("_rows"))
-        token = F.col("_seg").rlike(r"^(<\w+>.*|\*\*)$")
+        token = _token(F.col("_seg"))
         unknown = F.max(~token & (F.col("_labelled") == 0)).alias("_unknown")
-        node = child.groupBy("host", "template").agg(*[F.sum(f"_{c}").alias(f"_all_{c}") for c in ("labelled", "blocked")], unknown)
+        node = child.groupBy("host", "template").agg(*[F.sum(f"_{c}").alias(f"_all_{c}") for c in ("labelled", "blocked", "rows")], unknown)
         child = child.join(node, ["host", "template"])
         rest, rest_blocked = F.col("_all_labelled") - F.col("_labelled"), F.col("_all_blocked") - F.col("_blocked")
         pooled = (F.col("_all_blocked") + 0.5) / (F.col("_all_labelled") + 1)
@@ -99,11 +102,14 @@ def template_tree(shapes: DataFrame, min_pages: int = 5, z: float = 2.58, weight
         apart = (F.col("_labelled") > 0) & (rest > 0) & (F.abs(F.col("_blocked") / F.col("_labelled") - rest_blocked / rest) >= z * error)
         merged = F.when((F.col("_labelled") > 0) & F.col("_unknown"), "?").otherwise("*")  # no segment holds a "?"
         name = F.when(token, F.col("_seg")).when((F.col("_n") >= min_pages) & apart, F.col("_seg")).otherwise(merged)
-        child = child.select("host", "template", "_seg", "_rows", name.alias("_name"))
+        child = child.select("host", "template", "_seg", "_rows", name.alias("_name"), (F.col("_all_rows") == 1).alias("_alone"))
         done = rows.where("_seg is null").drop("_seg")
         moved = salted_lookup(inner, child, ["host", "template", "_seg"], "_rows", total)
-        moved = moved.withColumn("template", F.concat("template", F.lit("/"), "_name")).drop("_seg", "_name")
-        rows = saved(done.unionByName(moved), f"level-{level}")
+        tail = F.array_join(F.transform(F.slice("_parts", level + 1, F.size("_parts")), lambda x: F.when(_token(x), x).otherwise("*")), "/")
+        moved = moved.withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("_alone"), tail).otherwise(F.col("_name"))))
+        moved = moved.withColumn("_parts", F.when(F.col("_alone"), F.slice("_parts", 1, level + 1)).otherwise(F.col("_parts")))
+        rows = saved(done.unionByName(moved.drop("_seg", "_name", "_alone")), f"level-{level}")
+        level += 1
     leaf = rows.groupBy("host", "template").agg(*sums, F.count(F.lit(1)).alias("_rows"))
     host = leaf.groupBy("host").agg(F.sum("_labelled").alias("_hl"), F.sum("_blocked").alias("_hb"))
     whole = host.agg((F.coalesce(F.sum("_hb"), F.lit(0)) / F.greatest(F.coalesce(F.sum("_hl"), F.lit(0)), F.lit(1))).alias("p")).first()[0] or 0.0
