@@ -52,6 +52,73 @@ def test_marginals_of_long_rows_equal_one_pass():
     assert np.allclose(m.marginals(e, np.zeros(n, np.int64), 1, move), p[:, 1] / p.sum(1))
 
 
+def test_gradient_equals_finite_differences():
+    """Observed less expected counts against the slope of the log likelihood, summed over all state sequences."""
+    rng = np.random.default_rng(4)
+    sizes = [1, 6, 4]
+    seq = np.repeat(np.arange(3), sizes)
+    t = rng.integers(0, 2, len(seq)).astype(bool)
+    logs, move = rng.normal(0, 1, len(seq)), rng.normal(0, 1, (2, 2))
+
+    def likelihood(logs, move):
+        out, at = 0.0, 0
+        for n in sizes:
+            weight = {}
+            for states in itertools.product((0, 1), repeat=n):
+                before, w = 0, 0.0
+                for s, x in zip(states, logs[at : at + n], strict=True):
+                    w, before = w + move[before][s] + (x if s else 0.0), s
+                weight[states] = w
+            out += weight[tuple(int(x) for x in t[at : at + n])] - np.log(np.sum(np.exp(list(weight.values()))))
+            at += n
+        return out
+
+    p, due = m.expected(np.exp(logs), seq, np.exp(move))
+    seen, before = np.zeros((2, 2)), 0
+    for i, x in enumerate(t):
+        before = 0 if i == 0 or seq[i] != seq[i - 1] else int(t[i - 1])
+        seen[before, int(x)] += 1
+    h = 1e-5
+    for i in range(len(logs)):
+        d = h * (np.arange(len(logs)) == i)
+        assert abs((likelihood(logs + d, move) - likelihood(logs - d, move)) / (2 * h) - (t[i] - p[i])) < 1e-6
+    for a, b in itertools.product((0, 1), repeat=2):
+        d = np.zeros((2, 2))
+        d[a, b] = h
+        assert abs((likelihood(logs, move + d) - likelihood(logs, move - d)) / (2 * h) - (seen - due)[a, b]) < 1e-6
+
+
+def test_query_equals_a_plain_chain(spark, sf):
+    """The registered query on a whole table against one token at a time in Python."""
+    from weftline.llm import queries
+    from weftline.llm.common import lower, texts, words
+
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    f = m.fit_on(docs, labels)
+    import pyarrow as pa
+
+    got = {r["doc_id"]: r for r in queries.op9_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[:60]:
+        data, off = texts(pa.array([r["text"]], pa.string()))
+        start, end, _ = words(data, off)
+        e = f.emissions(m.token_features(lower(data), start, end)) if len(start) else np.zeros(0)
+        a, forward = np.array([1.0, 0.0]), []
+        for x in e:
+            a = (a @ f.move) * np.array([1, x])
+            a /= a.sum()
+            forward.append(a)
+        b, p = np.ones(2), []
+        for x, y in zip(reversed(e), reversed(forward), strict=True):
+            p.append(min((y * b)[1] / (y * b).sum(), 1 - 1e-9))
+            b = f.move @ (b * np.array([1, x]))
+            b /= b.sum()
+        total, top = -np.log1p(-np.array(p)).sum(), max([1e-6, *p])
+        score = 1 / (1 + np.exp(-(f.doc @ np.array([1, np.log(total + 1e-4), np.clip(np.log(top / (1 - top)), -12, 12)]))))
+        assert abs(got[r["doc_id"]]["score"] - score) < 1e-6 and got[r["doc_id"]]["predicted"] == (score >= 0.5)
+
+
 @pytest.fixture(scope="module")
 def field():
     rng = np.random.default_rng(3)

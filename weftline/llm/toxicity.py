@@ -92,14 +92,28 @@ def _chunks(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def marginals(e: np.ndarray, row: np.ndarray, rows: int, move: np.ndarray) -> np.ndarray:
-    """P(toxic) of each token; ``e`` are emission odds, ``row`` is sorted.
+    """P(toxic) of each token; ``e`` are emission odds, ``row`` is sorted."""
+    return messages(e, row, rows, move)[0]
+
+
+def transitions(before: np.ndarray, e: np.ndarray, after: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Expected number of steps from state to state: sums of the pairwise marginals of neighbours."""
+    (oo, ot), (to, tt) = move
+    right = e * after
+    pairs = [np.full(len(e), oo), ot * right, to * before, tt * before * right]
+    total = sum(pairs)
+    return np.array([float((x / total).sum()) for x in pairs]).reshape(2, 2)
+
+
+def messages(e: np.ndarray, row: np.ndarray, rows: int, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(toxic) of each token, and what reaches it from before and from after, as odds of state 1.
 
     Forward-backward in ratio form.  Rows are cut into chunks of WINDOW tokens that
     run in step: first each chunk's transfer matrix, then the chain of chunks, then
     the tokens inside.  A virtual token of state 0 precedes every row.
     """
     if len(e) == 0:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0), np.zeros(0)
     chunk, place, first, count = _chunks(row, rows)
     total = int(count.sum())
     odds = np.ones((WINDOW, total))
@@ -127,18 +141,20 @@ def marginals(e: np.ndarray, row: np.ndarray, rows: int, move: np.ndarray) -> np
         c = first[order[: alive[k]]] + k
         leave[c] = b[: alive[k]]
         b[: alive[k]] = (p01[c] + p11[c] * b[: alive[k]]) / (p00[c] + p10[c] * b[: alive[k]])
-    ratio = np.empty((WINDOW, total))
+    ratio, left, right = (np.empty((WINDOW, total)) for _ in range(3))
     r = enter
     for k in range(WINDOW):
+        left[k] = r
         r = np.where(there[k], odds[k] * (ot + tt * r) / (oo + to * r), r)
         ratio[k] = r
     b = leave
     for k in range(WINDOW - 1, -1, -1):
         ratio[k] *= b
+        right[k] = b
         x = odds[k] * b
         b = np.where(there[k], (to + tt * x) / (oo + ot * x), b)
     m = ratio[place, chunk]
-    return m / (1 + m)
+    return m / (1 + m), left[place, chunk], right[place, chunk]
 
 
 def _document_evidence(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -150,18 +166,18 @@ def _document_evidence(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.ones(rows), np.log(total + 1e-4), np.clip(np.log(top / (1 - top)), -12, 12)], 1)
 
 
-def _unlike(labelled: list[tuple[str, bool]], least: int = 7) -> list[tuple[str, bool]]:
-    """The first of every group of near copies, as copies aren't independent evidence.
+def _unlike(labelled: list[tuple[str, bool]], least: int = 32) -> list[tuple[str, bool]]:
+    """The first of every group of near copies of one class, as copies aren't independent evidence.
 
-    Copies agree with an earlier text in ``least`` of 64 minwise samples of 3-grams.
+    Copies agree with an earlier text of their class in ``least`` of 64 minwise samples of 3-grams.
     """
     kept: list[tuple[str, bool]] = []
-    where: dict[int, list[int]] = {}
+    where: dict[tuple[bool, int], list[int]] = {}
     for batch in sliced([pa.RecordBatch.from_arrays([pa.array([x for x, _ in labelled], pa.large_string()), pa.array(range(len(labelled)))], names=["text", "n"])]):
         grams, off = gram_sets(batch.column(0), 3)
         samples = minwise(grams, off)
         for n, row in zip(batch.column(1).to_pylist(), samples.tolist(), strict=True):
-            spots = [i << 32 | v for i, v in enumerate(row)]
+            spots = [(labelled[n][1], i << 32 | v) for i, v in enumerate(row)]
             seen = Counter(k for at in spots for k in where.get(at, ()))
             if seen and max(seen.values()) >= least:
                 continue
@@ -201,13 +217,17 @@ def _pieces(seq: np.ndarray, most: int = 1 << 17) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def _piecewise(e: np.ndarray, seq: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """``marginals`` over all sequences, a range at a time, so that little memory is held."""
-    out = np.empty(len(e))
+def expected(e: np.ndarray, seq: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and expected transitions of all sequences, a range at a time, so that little memory is held.
+
+    What is observed less these is the gradient of the log likelihood by the logs of emissions and of ``move``.
+    """
+    out, steps = np.empty(len(e)), np.zeros((2, 2))
     for lo, hi in _pieces(seq):
         own = seq[lo:hi] - seq[lo]
-        out[lo:hi] = marginals(e[lo:hi], own, int(own[-1]) + 1, move)
-    return out
+        out[lo:hi], before, after = messages(e[lo:hi], own, int(own[-1]) + 1, move)
+        steps += transitions(before, e[lo:hi], after, move)
+    return out, steps
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -281,7 +301,7 @@ def fit(labelled: list[tuple[str, bool]], totals: tuple[int, int] | None = None,
         total = np.full(len(t), bias)
         for f in flat:
             total += w[f]
-        p = _piecewise(np.exp(np.clip(total, -_CLIP, _CLIP)), seq, np.exp(move))
+        p, due = expected(np.exp(np.clip(total, -_CLIP, _CLIP)), seq, np.exp(move))
         gap = t - p
         gradient = np.zeros(len(ids))
         for f in flat:
@@ -292,10 +312,6 @@ def fit(labelled: list[tuple[str, bool]], totals: tuple[int, int] | None = None,
         b = gap.sum()
         g_b += b * b
         bias += 0.5 * b / np.sqrt(g_b)
-        # transitions: expected counts by the marginals of neighbours, as emissions dominate
-        q = np.concatenate(([0.0], p[:-1]))
-        q[np.concatenate(([True], seq[1:] != seq[:-1]))] = 0
-        due = np.array([[np.sum((1 - q) * (1 - p)), np.sum((1 - q) * p)], [np.sum(q * (1 - p)), np.sum(q * p)]])
         step = (seen - due) - 0.05 * move
         g_m += step**2
         move = np.clip(move + 0.2 * step / np.sqrt(g_m), -3, 3)
@@ -429,13 +445,14 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, field: Field, cut: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``cut``, unchanged."""
+    """The rows of ``docs`` that score below ``cut``, unchanged; columns may have any names."""
     var = docs.sparkSession.sparkContext.broadcast(field)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, f"c{at}"):
             s, _ = score_texts(batch.column(at), var.value)
             yield batch.filter(pa.array(s < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
