@@ -19,7 +19,8 @@ def brute(rows):
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)]
         loss = "".join(t for r, t in turns if r == "assistant")
         full = m.MARKED.render(turns)
-        out[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(full))
+        spans = "".join(f"{a}:{z}\n" for r, _, a, z in m.parse_marked(full) if r == "assistant")
+        out[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(full), hashlib.sha256(spans.encode()).hexdigest(), False)
     return out
 
 
@@ -44,6 +45,21 @@ def test_output_reads_back(turns):
     assert [(r, t) for r, t, _, _ in m.parse_marked(m.MARKED.render(turns))] == turns
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb"]), st.text(alphabet="<|>\\im_startendab\n", max_size=20)), max_size=6))
+def test_the_declared_window_equals_whole_prefixes(turns):
+    """Each turn's span, text span and rewriting, over the window and over all turns before."""
+    assert list(m.turn_spans(turns, m.MARKED)) == list(m.turn_spans(turns, m.Template(m.MARKED.render)))
+    full = m.MARKED.render(turns)
+    assert [(s.text_start, s.text_end) for s in m.turn_spans(turns, m.MARKED)] == [(a, z) for _, _, a, z in m.parse_marked(full)]
+
+
+def test_rewriting_is_found_within_the_declared_window():
+    turns = [("user", "one"), ("assistant", "two"), ("user", "three"), ("assistant", "four")]
+    last_whole = m.Template(lambda ts: "".join(f"[{r}]{t if i == len(ts) - 1 else t[:1]}" for i, (r, t) in enumerate(ts)), 1)
+    assert [s.rewrote > 0 for s in m.turn_spans(turns, last_whole)] == [False, True, True, True]
+
+
 def test_black_box_spans():
     turns = [("user", "one"), ("assistant", "two"), ("user", "three")]
     plain = m.Template(lambda ts: "BOS" + "".join(f"[{r}]{t}" for r, t in ts))

@@ -35,13 +35,12 @@ def test_equals_brute_force(spark, chunk):
     assert run(spark, [(*r, "x") for r in rows], every=50, chunk_bytes=chunk) == brute(rows, every=50)
 
 
-def test_many_blocks_and_large_weights(spark, monkeypatch):
-    monkeypatch.setattr(m, "BLOCK", 16)
+def test_many_blocks_and_large_weights():
     rng = np.random.default_rng(5)
     blocks = [(np.arange(a, a + 16), rng.integers(-(2**28), 2**28, (16, 6)) * (1 + a // 64)) for a in range(0, 256, 16)]
     q = rng.integers(-(2**28), 2**28, (7, 6))
     own = np.array([3, 17, 40, 99, 1000, 1001, 5])
-    best = m.search(q, own, np.full(7, np.iinfo(np.int64).min), blocks, 4)
+    best, _ = m.search(q, own, np.full(7, np.iinfo(np.int64).min), blocks, 4)
     for i in range(7):
         every = sorted((-int(sum(int(a) * int(b) for a, b in zip(q[i], v, strict=True))), int(j)) for ids, d in blocks for j, v in zip(ids, d, strict=True) if j != own[i])
         got = [(-int(s), int(j)) for qi, s, j in zip(best.q, best.score, best.id, strict=True) if qi == i]
@@ -59,3 +58,33 @@ def test_few_and_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0], "x")]) == []
     assert run(spark, [(0, [1.0], "x"), (1, [2.0], "x"), (100, [1.0], "x")]) == [(0, 1, 1, 2 * 1024**2), (0, 2, 100, 1024**2), (100, 1, 1, 2 * 1024**2), (100, 2, 0, 1024**2)]
+
+
+def test_blocks_of_clustered_vectors_are_pruned(spark):
+    """Sparse vectors of few terms: most blocks are never scored, and the best are those of brute force."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(4000):
+        v = np.zeros(300, np.int64)
+        v[(i * 7 % 60) * 5 + rng.integers(0, 5, 3)] = rng.integers(1, 1000, 3)
+        rows.append((i, v.tolist()))
+    df = spark.createDataFrame(rows, "id long, v array<long>").repartition(2)
+    queries = df.where("id % 400 = 0")
+    d = np.array([v for _, v in rows])
+    got = {}
+    for r in m.top_k(df, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for i in range(0, 4000, 400):
+        score = d @ d[i]
+        best = sorted((-int(x), j) for j, x in enumerate(score) if j != i)[:5]
+        assert got[i] == [(j, -x) for x, j in best]
+    seen = m.pruning(df, queries, 5).collect()
+    assert len(seen) == 10 and sum(r["scored"] for r in seen) < 0.3 * sum(r["blocks"] for r in seen)
+
+
+def test_bounds_hold_where_huge_terms_cancel():
+    big = 2**52
+    q = np.array([[big, -big, 1]])
+    d = np.array([[big, big, 7], [big - 1, big - 1, 9]])
+    b = m.bounds(q, d.max(0)[None], d.min(0)[None])
+    assert b[0, 0] >= max(int(q[0, 0]) * int(x) + int(q[0, 1]) * int(y) + int(z) for x, y, z in d)

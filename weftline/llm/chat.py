@@ -3,7 +3,8 @@
 A template is a function from a list of (role, text) turns to a string.  Successive
 prefixes of a conversation are rendered and consecutive outputs compared: what the
 longer one appends is the new turn's span.  If it doesn't start with the shorter
-one, the template rewrites history; the span then begins where the two part.
+one, the template rewrites history; the span then begins where the two part.  Where a
+turn's text lies within is found alike, by two renderings that differ in the text alone.
 
 ``MarkedTemplate`` is the library's own.  It marks turns with control strings, and
 escapes them inside roles and texts so that the output can be read back.
@@ -16,8 +17,9 @@ result.
 Scale: conversations are sorted within hash partitions and stream through Python
 turn by turn, with their digests carried along, so a conversation of any length
 needs the memory of its ``context``.  A template that declares how many turns
-before a turn its rendering depends on is rendered over that window; one that
-doesn't is rendered over whole prefixes, whose cost is quadratic.  The digests of
+before a turn its rendering depends on is rendered over that window, without the new
+turn and with it, and rewriting is found within it; one that doesn't is rendered over
+whole prefixes, whose cost is quadratic.  The digests of
 one conversation are sequential by definition, so one task reads it.
 """
 
@@ -72,7 +74,7 @@ def _marked(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
-MARKED = Template(_marked, 0)
+MARKED = Template(_marked, 1)
 
 
 def parse_marked(output: str) -> Iterator[tuple[str, str, int, int]]:
@@ -89,11 +91,17 @@ def parse_marked(output: str) -> Iterator[tuple[str, str, int, int]]:
 
 @dataclass
 class Span:
-    """What one turn added to the output: at ``start``, the text ``added``; ``rewrote`` characters before were replaced."""
+    """What one turn added to the output: at ``start``, the text ``added``; ``rewrote`` characters before were replaced.
+
+    The turn's text lies in the output from ``text_start`` to ``text_end``; both are -1
+    where the template doesn't show it as one run.
+    """
 
     start: int
     added: str
     rewrote: int = 0
+    text_start: int = -1
+    text_end: int = -1
 
 
 def _shared(a: str, b: str) -> int:
@@ -119,10 +127,17 @@ class Renderer:
         if (n := self.template.context) is not None:
             self.kept = self.kept[len(self.kept) - n :] if n else []
             self.before = self.template.render(self.kept) if self.kept else ""
+        role, text = turn
+        # two stand-ins for the text: the renderings part where it begins
+        one, two = (self.template.render([*self.kept, (role, x)]) for x in ("a", "b"))
         self.kept.append(turn)
         after = self.template.render(self.kept)
-        same = _shared(self.before, after)
-        span = Span(self.length - len(self.before) + same, after[same:], len(self.before) - same)
+        same, base = _shared(self.before, after), self.length - len(self.before)
+        span = Span(base + same, after[same:], len(self.before) - same)
+        at = _shared(one, two)
+        end = at + len(after) - len(one) + 1
+        if len(one) == len(two) and at < len(one) and one[at + 1 :] == two[at + 1 :] and after[:at] == one[:at] and end >= at and after[end:] == one[at + 1 :]:
+            span.text_start, span.text_end = base + at, base + end
         self.length += len(after) - len(self.before)
         self.before = after
         return span
@@ -146,25 +161,31 @@ class _Open:
     n: int = 0
     chars: int = 0
     loss: int = 0
+    rewrites: bool = False
 
     def __post_init__(self) -> None:
-        self.turns, self.lost, self.output = hashlib.sha256(), hashlib.sha256(), Renderer(MARKED)
+        self.turns, self.lost, self.mask, self.output = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), Renderer(MARKED)
 
     def add(self, turn: Turn) -> None:
         span = self.output.add(turn)
+        self.rewrites |= span.rewrote > 0
         for role, text, _, _ in parse_marked(span.added):  # read back from the output
             self.n += 1
             self.turns.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss += len(text)
-                self.lost.update(text.encode())
+            if role == "assistant":  # the loss mask is the text's span as the renderings show it
+                masked = unescape(span.added[span.text_start - span.start : span.text_end - span.start])
+                self.loss += len(masked)
+                self.lost.update(masked.encode())
+                self.mask.update(f"{span.text_start}:{span.text_end}\n".encode())
         self.chars += len(span.added)
 
     def row(self) -> tuple:
-        return self.conv_id, self.n, self.turns.hexdigest(), self.loss, self.lost.hexdigest(), self.chars
+        return self.conv_id, self.n, self.turns.hexdigest(), self.loss, self.lost.hexdigest(), self.chars, self.mask.hexdigest(), self.rewrites
 
 
-_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+_SCHEMA = pa.schema(
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("loss_spans_sha256", pa.string()), ("rewrites", pa.bool_())]
+)
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
@@ -173,7 +194,11 @@ def _ordered(conversations: DataFrame) -> DataFrame:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its formatted output."""
+    """One row per conversation, read back from its formatted output.
+
+    ``loss_spans_sha256`` digests a line ``start:end`` for each assistant text's span of
+    the output; ``rewrites``: some turn's rendering changed what stood before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Open | None = None
@@ -191,15 +216,15 @@ def digests(conversations: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, now.row(), strict=True))], _SCHEMA)
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _ordered(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_spans_sha256 string, rewrites boolean")
 
 
 def formatted_turns(conversations: DataFrame, template: Template = MARKED) -> DataFrame:
-    """conv_id, turn, role, start, added, rewrote: each turn's span of its conversation's output.
+    """conv_id, turn, role, start, added, rewrote, text_start, text_end: each turn's span of its conversation's output.
 
     ``added`` joined in order is the output, if no turn rewrote history.
     """
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("start", pa.int64()), ("added", pa.string()), ("rewrote", pa.int64())])
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("start", pa.int64()), ("added", pa.string()), ("rewrote", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         output, last = Renderer(template), object()
@@ -209,11 +234,11 @@ def formatted_turns(conversations: DataFrame, template: Template = MARKED) -> Da
                 if conv != last:
                     output, last = Renderer(template), conv
                 span = output.add((role, text))
-                out.append((conv, turn, role, span.start, span.added, span.rewrote))
+                out.append((conv, turn, role, span.start, span.added, span.rewrote, span.text_start, span.text_end))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, turn long, role string, start long, added string, rewrote long")
+    return _ordered(conversations).mapInArrow(run, "conv_id long, turn long, role string, start long, added string, rewrote long, text_start long, text_end long")
 
 
 def with_injection(conversations: DataFrame) -> DataFrame:
