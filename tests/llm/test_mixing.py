@@ -70,6 +70,17 @@ def test_mixed_texts(spark):
     assert all(got[k] == v for k, v in per.items())
 
 
+def test_clashing_names_and_repeated_rows_pass(spark):
+    names = ["doc_id", "text", "source", "a.b", "row", "slot", "size", "row_hash", "_a"]
+    rows = [(i % 3, f"word{i % 3} and more", "s", {"k": i % 3}, 1, 2, 3, 4, 5) for i in range(9)] + [(9, "x y z", None, None, 1, 2, 3, 4, 5)]
+    out = m.mixed_texts(spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` map<string, int>, row int, slot int, size int, row_hash int, _a int"))
+    assert out.columns == names
+    got = out.collect()
+    assert all(tuple(r)[4:] == (1, 2, 3, 4, 5) for r in got)
+    assert all(r["a.b"] == ({"k": r["doc_id"]} if r["doc_id"] != 9 else None) for r in got)
+    assert abs(sum(words(r["text"]) for r in got) - 1.5 * 30) <= 1
+
+
 def test_empty_tables(spark):
     assert m.mixed_documents(empty(spark)).count() == 0
     assert m.mixed_texts(empty(spark)).count() == 0

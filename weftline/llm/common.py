@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -212,6 +213,44 @@ def code_points(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
 
 
+#: Largest filter of ``held_by``, in bits.
+MOST_BITS = 1 << 28
+
+
+def held_by(wanted: DataFrame, keys: list[str], bits: int | None = None) -> Column:
+    """A condition on ``keys``: true where ``wanted`` holds them, and rarely elsewhere.
+
+    A Bloom filter of one position a key, 16 bits or more for each, of at most
+    ``MOST_BITS``: its broadcast is bounded, and where it is full it lets more rows pass.
+    """
+    spark = wanted.sparkSession
+    bits = bits or min(MOST_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy())
+            part = at >> 16
+            for k in np.unique(part).tolist():
+                bitmap, own = parts.setdefault(k, np.zeros(1 << 13, np.uint8)), at[part == k] & 0xFFFF
+                np.bitwise_or.at(bitmap, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        for k, b in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b.tobytes()], pa.binary())], names=["part", "bitmap"])
+
+    slots = wanted.select(F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    whole = bytearray(bits // 8)
+    for r in slots.repartition(F.shiftright("slot", 16)).mapInArrow(build, "part int, bitmap binary").toLocalIterator():  # of bounded size
+        whole[r["part"] << 13 : (r["part"] + 1) << 13] = bytes(r["bitmap"])
+    var = spark.sparkContext.broadcast(bytes(whole))
+
+    @F.pandas_udf("boolean")
+    def test(slot: pd.Series) -> pd.Series:
+        at, bitmap = slot.to_numpy(), np.frombuffer(var.value, np.uint8)
+        return pd.Series((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+    return test(F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1)))
+
+
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], rows_of: str, total: int, parts: int = 1000) -> DataFrame:
     """Left join of ``big`` to ``small`` (unique on ``keys``) that no hot key can slow.
 

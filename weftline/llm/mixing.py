@@ -9,16 +9,17 @@ at its target.  The targets weigh sources ``WEIGHTS`` in turn, by code point wit
 last, and share ``share`` of all words; a target stops at ``most`` times its
 source, and the excess is shared again by weight.
 
-Defined cases: a null text has size 0, null source is a source of its own, a null
-doc_id is ordered by its text's hash; texts without words are in the mix with 0
-words taken; an empty table gives an empty result.  Repeated rows are separate
-documents.
-
-Scale: only (doc_id, source, size) and what the caller carries is shuffled.  Prefix sums go over hash buckets
-of bounded size and then within a bucket, so that a source that holds a third of
-all rows is spread over many tasks.  A row per bucket and a row per slot are the
-next largest tables; neither comes to the driver.  Windows without a partition hold a
-row per source.
+Defined cases: a null text has size 0, null source is a source of its own, null
+doc_ids are ordered by their sizes and then by their rows' hashes; texts without words
+are in the mix with 0 words taken; an empty table gives an empty result.  Repeated rows
+are separate documents.  Columns of any name pass.
+
+Scale: the mix is planned on (doc_id, source, size, hash of the row) alone.  Prefix sums
+go over hash buckets of bounded size and then within a bucket, so that a source that
+holds a third of all rows is spread over many tasks.  A row per bucket and a row per
+slot are the next largest tables; neither comes to the driver.  Windows without a
+partition hold a row per source.  Whole rows move twice: to their places in the plan,
+by their hashes, and to their slots.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import count_space_separated, saved, sliced, texts
+from .common import col, count_space_separated, packed, saved, sliced, texts
 
 WEIGHTS = (3, 1, 2)
 GOLDEN = 0.6180339887498949
@@ -50,8 +52,8 @@ def with_sizes(docs: DataFrame, carry: list[str]) -> DataFrame:
             data, off = texts(batch.column(len(carry)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(count_space_separated(data, off))], names=[*names, "size"])
 
-    kinds = ", ".join(f"{n} {docs.select(c).schema[0].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
-    out = docs.select(*[F.col(c).alias(n) for n, c in zip(names, carry, strict=True)], "text").mapInArrow(run, f"{kinds}, size long")
+    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
+    out = docs.select(*[col(c).alias(n) for n, c in zip(names, carry, strict=True)], "text").mapInArrow(run, f"{kinds}, size long")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "size")
 
 
@@ -102,7 +104,8 @@ def shuffled_streams(sizes: DataFrame, n_rows: int, seed: str = "") -> DataFrame
     ahead = W.partitionBy("source_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = rows.groupBy("source_key", "_bucket").agg(F.sum("size").alias("_sum"))
     bases = bases.select("source_key", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
-    own = W.partitionBy("source_key", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    ties = [c for c in ("row_hash", "row_hash2") if c in sizes.columns]
+    own = W.partitionBy("source_key", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size", *ties).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_inner", F.coalesce(F.sum("size").over(own), F.lit(0)))
     joined = rows.join(bases, ["source_key", "_bucket"])
     return joined.select(*sizes.columns, "source_key", (F.col("_base") + F.col("_inner")).alias("from_word"))
@@ -166,12 +169,9 @@ def mix(streams: DataFrame, goals: DataFrame, block: int) -> DataFrame:
 
 def sized(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int]:
     """Sizes of all documents, the sources' goals, and the number of documents."""
-    sizes = with_sizes(docs, ["doc_id", "source", *carry])
-    if not carry:
-        sizes = saved(sizes, "mix-sizes")
-    narrow = sizes.select("source", "size")
-    goals = saved(targets(narrow, weights, share, most), "mix-goals")
-    return sizes, goals, docs.count()
+    sizes = saved(with_sizes(docs, ["doc_id", "source", *carry]), "mix-sizes")
+    goals = saved(targets(sizes.select("source", "size"), weights, share, most), "mix-goals")
+    return sizes, goals, sizes.count()
 
 
 def mixed_documents(docs: DataFrame, block: int = 4096, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "") -> DataFrame:
@@ -206,29 +206,39 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     of ``docs``; n_chars, if there, follows the text.
     """
     names = docs.columns
-    packed = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.struct(*names).alias("_row"), "text")
-    sizes, goals, n = sized(packed, weights, share, most, carry=("_row",))
+    marks = _row_hashes(docs)
+    known = docs.select(col("doc_id").alias("doc_id"), col("source").cast("string").alias("source"), *marks, col("text").alias("text"))
+    sizes, goals, n = sized(known, weights, share, most, carry=("row_hash", "row_hash2"))
     plan = saved(schedule(goals, block), "mix-schedule")
     slots = (plan.agg(F.max("slot")).first()[0] or 0) + 1
     rows = by_pass(shuffled_streams(sizes, n, seed), goals).where("_z > _a").withColumn("block_no", F.floor(F.col("_a") / block))
     rows = rows.join(plan, ["source_key", "block_no"])
-    flat = [F.col("_row").getField(c).alias(f"c{i}") for i, c in enumerate(names)]
     place = ["slot", "pass_no", "from_word"]
-    rows = rows.select("_row", *[F.col(c).cast("long") for c in place], (F.col("_z") - F.col("_a")).alias("_words"), F.col("size").alias("_size"))
-    whole = rows.where("_words = _size").select(*flat, *place)
-    cut = rows.where("_words < _size").select(*flat, *place, "_words")
+    words = F.when(F.col("_z") - F.col("_a") < F.col("size"), F.col("_z") - F.col("_a"))
+    rows = saved(rows.select("row_hash", "row_hash2", *[F.col(c).cast("long") for c in place], words.alias("_words")), "mix-plan")
+    # rows of equal hashes are equal rows, so any of them serves all their places
+    whole = docs.select(*marks, packed(docs)).dropDuplicates(["row_hash", "row_hash2"])
+    rows = rows.join(whole, ["row_hash", "row_hash2"])
+    rows = rows.select(*[F.col("row").getField(f"c{i}").alias(f"c{i}") for i in range(len(names))], *place, "_words")
+    parts = min(-(-slots // SLOTS_PER_PART), MOST_PARTS)
+    rows = rows.repartitionById(parts, F.floor(F.col("slot") * parts / slots).cast("int")).sortWithinPartitions(*place)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [_first_words(t.encode(), w) for t, w in zip(batch.column(at).to_pylist(), batch.column("_words").to_pylist(), strict=True)]
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(short, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            columns = batch.columns[: len(names)]
+            limit = batch.column(len(names) + len(place))
+            if limit.null_count < len(limit):  # few rows: a source's last
+                columns[at] = pa.array([t if w is None else _first_words(t.encode(), w).decode() for t, w in zip(columns[at].to_pylist(), limit.to_pylist(), strict=True)], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(names)])
 
-    cut = cut.mapInArrow(run, whole.schema)
+    out = rows.mapInArrow(run, T.StructType(rows.schema.fields[: len(names)]))
     if "n_chars" in names:
-        cut = cut.withColumn(f"c{names.index('n_chars')}", F.length(f"c{at}").cast(docs.schema["n_chars"].dataType))
-    parts = min(-(-slots // SLOTS_PER_PART), MOST_PARTS)
-    out = whole.unionByName(cut).repartitionById(parts, F.floor(F.col("slot") * parts / slots).cast("int"))
-    return out.sortWithinPartitions(*place).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+        out = out.withColumn(f"c{names.index('n_chars')}", F.length(f"c{at}").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def _row_hashes(docs: DataFrame) -> list[Column]:
+    """row_hash and row_hash2: 96 bits of all columns of a row, doc_id included."""
+    flat = [F.to_json(F.struct(col(f.name))) if not isinstance(f.dataType, T.AtomicType) else col(f.name) for f in docs.schema.fields]
+    return [F.xxhash64(*flat).alias("row_hash"), F.hash(*flat).alias("row_hash2")]
