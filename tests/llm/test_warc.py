@@ -59,3 +59,21 @@ def test_damage_is_found():
 
 def test_empty_table(spark):
     assert warc.archived(frame(spark, [])).count() == 0
+
+
+def test_headers_of_any_length(spark):
+    rows = [(1, "http://h/" + "a" * 1_200_000, "x"), (2, "http://h/" + "é" * 70_000, "y"), (3, "u", "x")]
+    got = sorted(tuple(r)[:1] + tuple(r)[3:5] for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, "response", None), (2, "response", None), (3, "revisit", 1)]
+
+
+def test_marks_that_blocks_split():
+    class Source:
+        def __init__(self, parts):
+            self.parts = parts
+
+        def read(self, n):
+            return self.parts.pop(0) if self.parts else b""
+
+    lines = warc._Lines(Source([b"ab\r", b"\n\r", b"\ncd", b"\r\n\r\n"]))
+    assert [lines.until(b"\r\n\r\n") for _ in range(3)] == [b"ab", b"cd", None]

@@ -14,8 +14,10 @@ in urls are percent-encoded; an empty table makes no archive.
 
 Scale: a task writes its rows to archives of about ``ARCHIVE`` bytes in the shared
 folder, under a name of its partition, first as a temporary file of its attempt: a lost task is
-repeated with the same result.  Lookups by payload digest go through
-``salted_lookup``: a payload that a third of all pages have is no hot task.
+repeated with the same result.  Pages whose payload may repeat,
+by a Bloom filter of bounded size, are looked up by digest through ``salted_lookup``: a
+payload that a third of all pages have is no hot task; all others aren't shuffled.
+A header of any length is read; it is the only part of a record that is held whole.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, saved, scratch_path
+from .common import held_by, salted_lookup, saved, scratch_path
 
 CHUNK = 1 << 20
 ARCHIVE = 256 << 20
@@ -98,18 +100,20 @@ class _Lines:
     def __init__(self, members: _Members):
         self.members, self.held = members, b""
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
-        while (at := self.held.find(mark)) < 0:
+    def until(self, mark: bytes) -> bytes | None:
+        parts, tail = [self.held], self.held
+        while (at := tail.find(mark)) < 0:
             more = self.members.read(65536)
             if not more:
-                if self.held.strip():
+                if b"".join(parts).strip():
                     raise ValueError("archive ends within a header")
                 return None
-            self.held += more
-            if len(self.held) > most + 65536:
-                raise ValueError("header too long")
-        out, self.held = self.held[:at], self.held[at + len(mark) :]
-        return out
+            parts.append(more)
+            tail = tail[-len(mark) + 1 :] + more  # the mark may begin in what came before
+        whole = b"".join(parts)
+        at += len(whole) - len(tail)
+        self.held = whole[at + len(mark) :]
+        return whole[:at]
 
     def some(self, n: int) -> bytes:
         if self.held:
@@ -175,8 +179,11 @@ def revisits(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     narrow = rows.select("page_id", "sha1", F.octet_length("html").alias("size"))
     same = saved(narrow.where(F.col("size") >= min_revisit).groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("head")).where("n > 1"), "payloads")
-    found = salted_lookup(rows, same, ["sha1"], "n", narrow.count())
-    return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))).drop("head")
+    rows = rows.withColumn("repeats", held_by(same, ["sha1"]))
+    # payloads that no other page has stay where they are
+    found = salted_lookup(rows.where("repeats").drop("repeats"), same, ["sha1"], "n", narrow.count())
+    found = found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))).drop("head")
+    return found.unionByName(rows.where("not repeats").drop("repeats").withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataFrame:
