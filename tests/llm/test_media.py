@@ -45,6 +45,47 @@ def test_area_resize_equals_brute_force(h, w, th, tw):
     fine = np.kron(image.astype(float), np.ones((th, tw)))  # each target pixel covers h x w fine ones
     brute = fine.reshape(th, h, tw, w).mean((1, 3))
     assert np.allclose(media.area_resize(image, th, tw), brute)
+    assert np.array_equal(media.area_resize(image, th, tw, 3), media.area_resize(image, th, tw))
+    colour = np.stack([image, image // 2, 255 - image], 2)
+    assert np.allclose(media.area_resize(colour, th, tw, 5)[:, :, 0], brute)
+
+
+def brute_hash(payload):
+    """The difference hash of a payload's image, by fine copies of every sample and fractions."""
+    from fractions import Fraction as Q
+
+    image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+    h = len(image)
+    column = [[sum(int(image[y, x]) * max(Q(0), min(Q(x + 1), Q(64 * (j + 1), 9)) - max(Q(x), Q(64 * j, 9))) for x in range(64)) for j in range(9)] for y in range(h)]
+    cell = [[sum(column[y][j] * max(Q(0), min(Q(y + 1), Q(h * (i + 1), 8)) - max(Q(y), Q(h * i, 8))) for y in range(h)) for j in range(9)] for i in range(8)]
+    return np.packbits([cell[i][j + 1] > cell[i][j] for i in range(8) for j in range(8)]).tobytes().hex()
+
+
+def test_registered_features_equal_brute_force(spark, sf):
+    from weftline.llm.queries import op1_media
+
+    want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op1_media(spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got[:25]:
+        b = (want[r["doc_id"]] or "").encode()
+        if len(b) < 4000:
+            assert r["feature"] == brute_hash(b + bytes(-len(b) % 64 or 64 * (not b)))
+
+
+@pytest.mark.parametrize("form", ["pgm", "bmp"])
+def test_stored_texts_as_resized_tiles(spark, form):
+    import io
+
+    stored = media.text_media(documents(spark).where("doc_id in (1, 5, 6)"), form)
+    whole = media.decode_tiles(stored, "doc_id", "media", side=64).collect()
+    for i, text in ((1, ROWS[0][1]), (5, ""), (6, ROWS[6][1])):
+        parts = sorted((r for r in whole if r["media_id"] == i), key=lambda r: r["tile_row"])
+        back = b"".join(np.load(io.BytesIO(r["npy"])).tobytes() for r in parts)
+        assert back.rstrip(b"\0").decode() == text and len(back) % 64 == 0
+    small = media.decode_tiles(stored, "doc_id", "media", 16, 18, side=8).collect()
+    assert {(r["tile_row"], r["tile_col"]) for r in small if r["media_id"] == 6} == {(y, x) for y in range(2) for x in range(3)}
+    assert all(r["tile_dhash"] == media.difference_hash(np.load(io.BytesIO(r["npy"]))) for r in small)
 
 
 def test_stored_features(spark):

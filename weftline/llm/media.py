@@ -2,7 +2,8 @@
 
 Images are numpy arrays of uint8 or uint16, ``height x width`` for one sample and
 ``height x width x channels`` for more.  Resizing averages the exact source area
-below each target pixel, with fractions at its borders, by one integral image.
+below each target pixel, with fractions at its borders, by an integral image that is
+built in strips, so that a long image needs little more memory than its samples.
 
 Defined cases: null and empty payloads decode to null with a reason; a broken file
 never stops a job, its row gets ``error``; files of no pixels are broken.
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced, texts
+from .common import col, sliced, texts
 
 _TOKEN = re.compile(rb"(?:[ \t\r\n\v\f]|#[^\r\n]*[\r\n])*([^ \t\r\n\v\f#]+)")
 _MOST_PIXELS = 1 << 31
@@ -179,22 +180,40 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def _edges(total: np.ndarray, n: int, axis: int) -> np.ndarray:
-    """The integral image at n + 1 equal cuts of an axis, interpolated between samples."""
-    size = total.shape[axis] - 1
+def _cuts(size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n + 1 equal cuts of an axis: the sample that each lies in, and how far within."""
     at = np.arange(n + 1) * (size / n)
     low = np.minimum(at.astype(np.int64), size - 1)
-    part = (at - low).reshape((-1, *[1] * (total.ndim - 1 - axis)))
-    a, b = np.take(total, low, axis), np.take(total, low + 1, axis)
-    return a + (b - a) * part
+    return low, at - low
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the exact source area of each target pixel, as float64."""
+def _integral_rows(image: np.ndarray, rows: np.ndarray, strip: int) -> np.ndarray:
+    """The given rows of the image's integral image, which is built in strips of about ``strip`` samples."""
     h, w = image.shape[:2]
-    total = np.zeros((h + 1, w + 1, *image.shape[2:]))
-    np.cumsum(np.cumsum(image, 0, dtype=np.int64), 1, out=total[1:, 1:])
-    cut = _edges(_edges(total, height, 0), width, 1)
+    step = max(1, strip // max(1, image[0].size))
+    out = np.zeros((len(rows), w + 1, *image.shape[2:]), np.int64)
+    above = np.zeros(image.shape[1:], np.int64)
+    for a in range(0, h, step):
+        part = np.cumsum(np.cumsum(image[a : a + step], 0, dtype=np.int64), 1)
+        part += above
+        above = part[-1].copy()
+        lo, hi = np.searchsorted(rows, (a + 1, a + len(part) + 1))
+        out[lo:hi, 1:] = part[rows[lo:hi] - a - 1]
+    return out
+
+
+def area_resize(image: np.ndarray, height: int, width: int, strip: int = 1 << 18) -> np.ndarray:
+    """Mean over the exact source area of each target pixel, as float64.  Memory follows the strip and the target."""
+    h, w = image.shape[:2]
+    low, part = _cuts(h, height)
+    rows, place = np.unique(np.concatenate((low, low + 1)), return_inverse=True)
+    total = _integral_rows(image, rows, strip)
+    place = place.reshape(2, -1)
+    shape = (-1, *[1] * (total.ndim - 1))
+    cut = total[place[0]] + (total[place[1]] - total[place[0]]) * part.reshape(shape)
+    low, part = _cuts(w, width)
+    a, b = cut[:, low], cut[:, low + 1]
+    cut = a + (b - a) * part.reshape(shape[:-1] if total.ndim > 2 else -1)
     return (cut[1:, 1:] - cut[:-1, 1:] - cut[1:, :-1] + cut[:-1, :-1]) / (h / height * w / width)
 
 
@@ -222,18 +241,20 @@ def tiles(image: np.ndarray, side: int) -> Iterator[tuple[int, int, np.ndarray]]
             yield y // side, x // side, image[y : y + side, x : x + side]
 
 
-TILE_SCHEMA = "media_id long, tile_row int, tile_col int, height int, width int, channels int, dhash string, npy binary, error string"
+TILE_SCHEMA = "media_id long, tile_row int, tile_col int, height int, width int, channels int, dhash string, tile_dhash string, npy binary, error string"
 
 
 def decode_tiles(media: DataFrame, id_col: str, data_col: str, height: int | None = None, width: int | None = None, side: int = 256) -> DataFrame:
     """One row per NPY tile of each decoded (and, if a size is given, resized) image.
 
+    ``dhash`` is the whole decoded image's difference hash, ``tile_dhash`` the tile's own.
+
     Rows whose bytes are null, empty or broken give one row with ``error`` set and
     no tile.  No shuffle; memory holds one image at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("media_id", pa.int64()), *[(c, pa.int32()) for c in ("tile_row", "tile_col", "height", "width", "channels")], ("dhash", pa.string()), ("npy", pa.binary()), ("error", pa.string())])
+        schema = pa.schema([("media_id", pa.int64()), *[(c, pa.int32()) for c in ("tile_row", "tile_col", "height", "width", "channels")], ("dhash", pa.string()), ("tile_dhash", pa.string()), ("npy", pa.binary()), ("error", pa.string())])
         for batch in batches:
             rows, held = [], 0
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -243,13 +264,13 @@ def decode_tiles(media: DataFrame, id_col: str, data_col: str, height: int | Non
                         raise MediaError("no bytes")
                     image = decode(raw)
                 except MediaError as e:
-                    rows.append((key, None, None, None, None, None, None, None, str(e)))
+                    rows.append((key, *[None] * 8, str(e)))
                     continue
                 mark = difference_hash(image)
                 if height and width:
                     image = np.clip(np.rint(area_resize(image, height, width)), 0, 65535).astype(image.dtype)
                 for y, x, tile in tiles(image, side):
-                    rows.append((key, y, x, *tile.shape[:2], 1 if tile.ndim == 2 else tile.shape[2], mark, b := npy(tile), None))
+                    rows.append((key, y, x, *tile.shape[:2], 1 if tile.ndim == 2 else tile.shape[2], mark, difference_hash(tile), b := npy(tile), None))
                     held += len(b)
                     if held > 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -257,7 +278,7 @@ def decode_tiles(media: DataFrame, id_col: str, data_col: str, height: int | Non
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return media.selectExpr(f"cast(`{id_col}` as long) media_id", f"`{data_col}` data").mapInArrow(run, TILE_SCHEMA)
+    return media.select(col(id_col).cast("long").alias("media_id"), col(data_col).alias("data")).mapInArrow(run, TILE_SCHEMA)
 
 
 def store(payload: bytes, width: int = 64, form: str = "pgm") -> bytes:
@@ -301,3 +322,16 @@ def stored_features(docs: DataFrame, form: str = "pgm", tile: int = 256) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["doc_id", *names])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, STORED_SCHEMA)
+
+
+def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
+    """doc_id, media: every whole text stored as an image, padded as in ``stored_features``; ``decode_tiles`` reads it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            data, off = texts(batch.column(1))
+            raw = data.tobytes()
+            made = [store(raw[a:b] + bytes(-(b - a) % 64 or 64 * (a == b)), form=form) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "media"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, media binary")
