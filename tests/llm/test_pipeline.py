@@ -21,11 +21,17 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
 
 
 def test_awkward_rows_go_through(spark, sf):
+    from pyspark.sql import functions as F
+
     docs = documents(spark)
+    for c in ("a.b", "_w_id", "row", "kept_text", "slot", "c0"):
+        docs = docs.withColumn(c, F.col("key"))
     for name, stage in p.STAGES:
         docs = stage(spark, docs, sf)
         rows = docs.collect()
         docs = spark.createDataFrame(rows, docs.schema)
+        if name != "sentencepieces":
+            assert all(r["a.b"] == r["_w_id"] == r["slot"] == r["key"] for r in rows)
         if name == "ngram_join":
             assert sum(r["doc_id"] == 3 for r in rows) == 1
     assert rows
@@ -33,12 +39,17 @@ def test_awkward_rows_go_through(spark, sf):
 
 def test_run_equals_the_queries_brute_force(spark, sf):
     """run() against the stages done by plain Python on the operators' own decisions."""
+    import json
+    import re
     from collections import Counter
+    from hashlib import md5
+
+    from pyspark.sql import functions as F
 
     from tests.llm.test_line_dedup import m as line
     from tests.llm.test_mixing import level, words
     from tests.llm.test_ngram_join import brute as classes
-    from weftline.llm import toxicity
+    from weftline.llm import sentencepieces, toxicity
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     field = toxicity.fit_on(docs, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -58,10 +69,26 @@ def test_run_equals_the_queries_brute_force(spark, sf):
     sizes = Counter()
     for _, t, c in rows:
         sizes[c] += words(t)
-    goal = level(dict(sizes), (3, 1, 2))
-    out = p.run(spark, sf).collect()
-    assert {r["doc_id"] for r in out} <= {r[0] for r in rows}
-    assert max(Counter(r["doc_id"] for r in out).values()) <= 2 and {r["source"] for r in out} == {c for c in goal if goal[c] >= 0.5}
+    goal = {c: int(x + 0.5) for c, x in level(dict(sizes), (3, 1, 2)).items()}
+    want = Counter()
+    for c in goal:
+        at = 0
+        for d, t, _ in sorted((r for r in rows if r[2] == c), key=lambda r: md5(str(r[0]).encode()).hexdigest()):
+            n = words(t)
+            for a in (at, at + sizes[c]):
+                took = min(a + n, goal[c]) - a
+                if took > 0:
+                    ends = [x.end() for x in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+                    want[d, c, t if took == n else t[: ends[took - 1]]] += 1
+            at += n
+    out = p.run(spark, sf)
+    got = sentencepieces.decode(out.select("doc_id", "source", "pieces").withColumn("key", F.to_json(F.struct("doc_id", "source"))), "key").collect()
+    found = Counter()
+    for r in got:
+        k = json.loads(r["key"])
+        found[k["doc_id"], k.get("source"), r["text"]] += 1
+    assert found == Counter({(d, c, t.replace("▁", " ")): n for (d, c, t), n in want.items()})
+    assert out.where("not round_trip or n_samples < 1").count() == 0
 
 
 def test_queries_are_registered():
