@@ -6,20 +6,20 @@ Each stage's output is written as Parquet and read again as the next one's input
 1. toxicity: documents that the fitted field scores 0.5 or more go.
 2. line_dedup: lines of 20 or more characters that three or more documents hold
    stay in the largest doc_id only; texts are rewritten, all documents stay.
-3. ngram_join: of every class of similar documents, the one of least doc_id stays.
+3. ngram_join: of every class of similar documents, the one of least doc_id stays; texts
+   without words, such as punctuation only, are a class with their exact copies alone.
 4. mixing: sources are mixed to their target weights; a document comes once per
    pass that takes words of it, cut where its source's target ends, in the order
    of the schedule's slots.
 5. sentencepieces: every row is segmented; the result has the first sample's ids
    and digests of all samples; rows that repeat a doc_id are rows of their own.
 
-Null texts are empty throughout, and extra columns are carried to the last stage.
+Null texts are empty throughout, and extra columns of any name are carried to the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm import line_dedup, mixing, ngram_join, sentencepieces, toxicity
 from weftline.llm.common import scratch_path, table
@@ -35,11 +35,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the repeated lines; n_chars follows the text."""
     ship(spark)
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = line_dedup.drop_repeated_lines(docs, carry=rest).withColumnRenamed("kept_text", "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return line_dedup.without_repeated_lines(docs)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
