@@ -26,7 +26,7 @@ sets, or, where texts are read, ``BLOCK_GRAMS``, is split into blocks, and each
 of blocks is a task's group; nothing is cut off.  Lookups by a hot bucket, digest,
 vertex or label broadcast only keys with more than a thousandth of all rows.  Texts
 that share no candidate pair stay where they are, by a Bloom filter of bounded size;
-the others move once to their node and then to the leaves that own one of its pairs.
+the others move once to their candidates and then to the leaves that own one of their pairs.
 """
 
 from __future__ import annotations
@@ -36,12 +36,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, lower, mix64, packed, salted_lookup, saved, sliced, span_hashes, texts, unpacked, words
+from .common import col, held_by, lower, mix64, packed, salted_lookup, saved, sliced, span_hashes, texts, unpacked, words
 
 HASHES = 64
 LEAF = 256
@@ -54,8 +53,6 @@ NEAR = 0.8
 #: Sets of a bucket whose pairs show its mean similarity.
 SAMPLE = 64
 BRANCH = 2
-#: Largest filter of the rows whose texts are read, in bits.
-MOST_BITS = 1 << 28
 _NO_ID = -(2**63)
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -199,7 +196,7 @@ def _grow(sigs: DataFrame, first: int, last: int, threshold: float) -> tuple[lis
         rows = saved(rows, f"paths-{level}")
         total = rows.count()
         counts = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("n", F.col("rows")), f"sizes-{level}")
-        sized = salted_lookup(rows, counts, ["bucket"], "rows", total).where("n is not null")
+        sized = saved(salted_lookup(rows, counts, ["bucket"], "rows", total).where("n is not null"), f"sized-{level}")
         done.append(sized.where(F.col("n") <= LEAF))
         if not counts.where(F.col("n") > LEAF).limit(1).count():
             return done, deep, level
@@ -293,30 +290,33 @@ class _Lists:
     def __init__(self, off: np.ndarray, flat: np.ndarray):
         self.off, self.size = off, np.diff(off)
         self.values, dense = np.unique(flat, return_inverse=True)
-        self.dense = dense.astype(np.int64).reshape(-1)
+        self.dense = dense.astype(np.int32).reshape(-1)
         self.mark = np.zeros(len(self.values), bool)
 
-    def held(self, a: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Elements of ``others`` end to end, whether list ``a`` holds each, and where each list begins."""
+    def held(self, a: int, others: np.ndarray) -> np.ndarray:
+        """How many elements of each of ``others`` list ``a`` holds."""
         size = self.size[others]
         first = np.cumsum(size) - size
         at = np.arange(int(size.sum())) + np.repeat(self.off[others] - first, size)
         own = self.dense[self.off[a] : self.off[a + 1]]
         self.mark[own] = True
-        flat = self.dense[at]
-        hit = self.mark[flat]
+        hit = np.concatenate(([0], np.cumsum(self.mark[self.dense[at]])))
         self.mark[own] = False
-        return flat, hit, first
+        return hit[first + size] - hit[first]
 
 
-def _by_first(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each distinct i, its js, and their places; parts of bounded size."""
+def _by_first(i: np.ndarray, j: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each distinct i, its js, and their places, in parts whose lists (of ``size``) hold about ``most`` elements."""
     order = np.argsort(i, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], i[order][1:] != i[order][:-1]))).tolist() if len(i) else []
     for a, b in zip(cuts, [*cuts[1:], len(i)], strict=True):
-        for k in range(a, b, 1024):
-            at = order[k : min(k + 1024, b)]
+        held = np.cumsum(size[j[order[a:b]]])
+        while a < b:
+            to = a + max(1, int(np.searchsorted(held, most, "right")))
+            at = order[a:to]
             yield int(i[at[0]]), j[at], at
+            held = held[to - a :] - held[to - a - 1]
+            a = to
 
 
 def _pairs(batch: pa.RecordBatch, threshold: float, slack: float, owned: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -344,20 +344,18 @@ def _pairs(batch: pa.RecordBatch, threshold: float, slack: float, owned: bool) -
             continue
         at = first[size == g]
         x, y = np.triu_indices(int(g), 1)
-        step = max(1, 2_000_000 // len(x))
+        step = max(1, 500_000 // len(x))
         for k in range(0, len(at), step):
             test((at[k : k + step, None] + x).reshape(-1), (at[k : k + step, None] + y).reshape(-1))
     i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_i, out_j))
     if not len(i) or not owned:
         return i, j
-    # a pair belongs to the least bucket that both are in
-    mine = batch.column(7)
-    lists = _Lists(mine.offsets.to_numpy().astype(np.int64) - mine.offsets[0].as_py(), mine.flatten().to_numpy())
-    own = np.zeros(len(i), bool)
-    for a, others, at in _by_first(i, j):
-        flat, hit, start = lists.held(a, others)
-        least_shared = np.minimum.reduceat(np.where(hit, flat, len(lists.values)), start)
-        own[at] = lists.values[np.minimum(least_shared, len(lists.values) - 1)] == bucket[a]
+    # a pair belongs to the least bucket that both are in: they share none of their earlier ones
+    earlier = batch.column(7)
+    lists = _Lists(earlier.offsets.to_numpy().astype(np.int64) - earlier.offsets[0].as_py(), earlier.flatten().to_numpy())
+    own = np.ones(len(i), bool)
+    for a, others, at in _by_first(i, j, lists.size):
+        own[at] = lists.held(a, others) == 0
     return i[own], j[own]
 
 
@@ -372,15 +370,14 @@ def _placed(rows: DataFrame, blocks: Column, carry: list[str]) -> DataFrame:
     return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
 
-def _partners(threshold: float, slack: float, owned: bool):
-    """bucket, digest of the rows that have a candidate pair in their group."""
+def _partners(threshold: float, slack: float, owned: bool, keep: tuple[str, ...]):
+    """``keep`` columns of the rows that have a candidate pair in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
             i, j = _pairs(batch, threshold, slack, owned)
             if len(i):
-                rows = pa.array(np.unique(np.concatenate((i, j))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows)], names=["bucket", "digest"])
+                yield batch.select(keep).take(pa.array(np.unique(np.concatenate((i, j)))))
 
     return run
 
@@ -402,9 +399,8 @@ def _verify(threshold: float, slack: float, n: int):
             sets = _Lists(np.concatenate(([0], np.cumsum(sizes))), np.concatenate(parts))
             docs = batch.column(8).to_numpy()
             linked = np.zeros(len(i), bool)
-            for a, others, at in _by_first(i, j):
-                _, hit, start = sets.held(a, others)
-                shared = np.add.reduceat(hit, start, dtype=np.int64)
+            for a, others, at in _by_first(i, j, sizes):
+                shared = sets.held(a, others)
                 linked[at] = shared >= threshold * (sizes[a] + sizes[others] - shared)
             i, j = i[linked], j[linked]
             if not len(i):
@@ -428,39 +424,6 @@ def _verify(threshold: float, slack: float, n: int):
     return run
 
 
-def _only(var, bits: int):
-    @F.pandas_udf("boolean")
-    def run(h: pd.Series) -> pd.Series:
-        at = h.to_numpy().view(np.uint64) & np.uint64(bits - 1)
-        bitmap = np.frombuffer(var.value, np.uint8)
-        return pd.Series((bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0)
-
-    return run
-
-
-def _maybe(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` without most of those whose keys ``wanted`` lacks, by a Bloom filter of at most ``MOST_BITS``."""
-    spark = rows.sparkSession
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = np.unique(batch.column(0).to_numpy())
-            part = at >> 16
-            for k in np.unique(part).tolist():
-                bitmap, own = parts.setdefault(k, np.zeros(1 << 13, np.uint8)), at[part == k] & 0xFFFF
-                np.bitwise_or.at(bitmap, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
-        for k, b in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b.tobytes()], pa.binary())], names=["part", "bitmap"])
-
-    slots = wanted.select(F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1)).alias("slot"))
-    whole = bytearray(bits // 8)
-    for r in slots.repartition(F.shiftright("slot", 16)).mapInArrow(build, "part int, bitmap binary").toLocalIterator():  # of bounded size
-        whole[r["part"] << 13 : (r["part"] + 1) << 13] = bytes(r["bitmap"])
-    return rows.where(_only(spark.sparkContext.broadcast(bytes(whole)), bits)(F.xxhash64(*keys)))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """digest, label: the least digest that each vertex of (digest, root) edges is connected to.
 
@@ -502,19 +465,24 @@ def similarity_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, reca
     small = sets.where("grams > 0").select("digest", "grams", "sig").mapInArrow(_sketches, "digest binary, grams int, sketch binary")
     # sketches alone first: which sets of a leaf have a candidate there
     member = leaves(sets, threshold, recall).join(small, "digest")
-    met = _placed(member, F.ceil(F.when(F.col("n") > BLOCK, F.col("n")).otherwise(1) / BLOCK), [])
-    met = saved(met.mapInArrow(_partners(threshold, slack, False), "bucket long, digest binary"), "met").distinct()
+    blocks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1)
+    met = _placed(member, blocks, ["n"]).mapInArrow(_partners(threshold, slack, False, ("bucket", "digest", "n")), "bucket long, digest binary, n long")
     # then which leaf owns their pairs: the first that both are in
-    mine = saved(met.groupBy("digest").agg(F.sort_array(F.collect_list("bucket")).alias("mine")), "leaves").join(small, "digest")
-    mine = mine.select("digest", "grams", "sketch", "mine", F.explode("mine").alias("bucket"))
-    near = _placed(_sized(mine), F.ceil(F.col("n") / BLOCK), ["mine"])
-    near = saved(near.mapInArrow(_partners(threshold, slack, True), "bucket long, digest binary"), "near").distinct()
-    # whole texts of these alone
-    need = saved(near.select("digest").distinct().join(sets.select("digest", "docs", "rep"), "digest").select("digest", "docs", "rep.doc_id", "rep.th"), "need")
-    text = _maybe(keyed, need, ["doc_id", "th"]).join(need, ["doc_id", "th"]).select("digest", "docs", "text").dropDuplicates(["digest"])
-    info = mine.join(near, ["digest", "bucket"], "left_semi")
-    full = _sized(info).join(text, "digest")
-    full = _placed(full, F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_GRAMS)), ["mine", "docs", "text"])
+    mine = saved(met, "met").groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("bucket", "n"))).alias("mine"))
+    mine = mine.join(small, "digest").join(sets.select("digest", "docs", "rep"), "digest")
+    mine = saved(mine.select("digest", "grams", "sketch", "docs", "rep.doc_id", "rep.th", "mine"), "mine")
+    placed = mine.select("*", F.posexplode("mine").alias("at", "leaf"))
+    placed = placed.select("digest", "grams", "sketch", "docs", "doc_id", "th", "leaf.bucket", "leaf.n", F.expr("transform(slice(mine, 1, at), x -> x.bucket)").alias("earlier"))
+    near = _placed(placed, blocks, ["earlier"])
+    near = near.mapInArrow(_partners(threshold, slack, True, ("bucket", "digest", "grams")), "bucket long, digest binary, grams int")
+    near = saved(saved(near, "near").distinct(), "owners")
+    # whole texts of these alone, where their first document lies
+    sizes = near.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("grams").alias("total")).withColumn("n", F.col("rows"))
+    near = salted_lookup(near, sizes, ["bucket"], "rows", near.count()).select("bucket", "digest", F.col("n").alias("m"), "total")
+    near = placed.join(near, ["digest", "bucket"])
+    need = mine.join(near.select("digest").distinct(), "digest", "left_semi").select("doc_id", "th")
+    text = keyed.where(held_by(need, ["doc_id", "th"])).dropDuplicates(["doc_id", "th"])
+    full = _placed(near.join(text, ["doc_id", "th"]), F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_GRAMS)), ["earlier", "docs", "text"])
     found = saved(full.mapInArrow(_verify(threshold, slack, n), "digest binary, links long, root binary"), "links")
     linked = found.groupBy("digest").agg(F.sum("links").alias("links")).join(components(found.select("digest", "root")), "digest", "left")
     known = sets.select("digest", "docs", "rep").join(linked, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
@@ -527,13 +495,6 @@ def similarity_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, reca
     return out.select(real.alias("doc_id"), "th", "class_id", "class_th", F.lower(F.hex("digest")).alias("set_id"), F.col("grams").alias("n_grams"), "n_links")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """``rows`` with n, the number of rows of their bucket, and total, the grams of their sets."""
-    rows = saved(rows, "placed")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("grams").alias("total")).withColumn("n", F.col("rows"))
-    return salted_lookup(rows, sizes, ["bucket"], "rows", rows.count())
-
-
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that represent their classes, unchanged: those of least doc_id.
 
