@@ -302,3 +302,45 @@ def test_generation_helpers(spark):
     q = N.rule_questions(frame(spark, [(1, "Act", "5", "Punishment for theft.", "within ten days or within two days"), (2, "Act", "6", "", "x")], "id int, a string, s string, t string, x string"), "id", "a", "s", "t", "x").collect()
     assert [(x["subtype"], x["answer"]) for x in q] == [("which_section", "Theft is treated in Section 5 of the Act.")]
     assert N.positions(frame(spark, [("g", 1), ("g", 2)], "g string, n int"), "g", "n").orderBy("n").collect()[1]["pos"] == 0.5
+
+
+def test_whole_marker_lists(spark):
+    from weftline.functions import grading as G
+
+    assert [len(x) for x in (G.ABSTENTIONS, G.FRAMINGS, G.REPEALS, G.CLAIMS)] == [17, 8, 28, 15]
+    df = spark.createDataFrame([("Kripya vakil se milein.",), ("It is illegal and I will not.",), ("The court agreed.",)], "r string")
+    assert [r[0] for r in df.select(G.abstains("r")).collect()] == [True, True, False]
+    own = df.select(G.judge_columns(F.array(), F.array(), "r", F.lit("qa"), abstentions=("agreed",))["abstained"].alias("x"))
+    assert [r[0] for r in own.collect()] == [False, False, True]
+
+
+def test_jaccard_pairs_equal_all_pairs(spark):
+    import random
+
+    from weftline.operators import curation as K
+
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(120)]
+    base = [rng.sample(pool, rng.randrange(1, 60)) for _ in range(40)]
+    rows = []
+    for i in range(160):
+        w = set(base[0 if i % 3 == 0 else rng.randrange(40)])  # one group holds a third
+        for _ in range(rng.randrange(6)):
+            w.symmetric_difference_update({rng.choice(pool)})
+        rows.append((i, sorted(w)))
+    df = spark.createDataFrame(rows, "id long, words array<string>").where("size(words) > 0")
+    sets = [(i, set(w)) for i, w in rows if w]
+    for least in (0.35, 0.8):
+        want = {(i, j): len(x & y) / len(x | y) for i, x in sets for j, y in sets if i > j and len(x & y) >= least * len(x | y)}
+        got = {(r["a"], r["b"]): r["jaccard"] for r in K.jaccard_pairs(df, None, "id", least).collect()}
+        assert got == want
+        other = {(r["a"], r["b"]) for r in K.jaccard_pairs(df, df.where("id < 20"), "id", least).collect()}
+        assert other == {(i, j) for i, x in sets for j, y in sets if j < 20 and len(x & y) >= least * len(x | y)}
+
+
+def test_paths_are_looked_up_by_their_file_system(spark, tmp_path):
+    from weftline.sources import readers
+
+    (tmp_path / "m.jsonl").write_text('{"asset_id": "a"}\n')
+    assert readers.exists(spark, f"file://{tmp_path}/m.jsonl") and not readers.exists(spark, f"{tmp_path}/none")
+    assert readers.manifest(spark, f"file://{tmp_path}/m.jsonl").count() == 1 and readers.manifest(spark, f"{tmp_path}/none").count() == 0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.citations import alias_regex
 from ..functions.text import dot, tokens, unit_vector
+from ..session import spread
 
 K1, B, TITLE_BONUS, RRF_C, GUIDANCE_SLOTS = 1.5, 0.75, 0.75, 60, 2
 
@@ -80,15 +81,20 @@ def build_index(docs: DataFrame, doc_key: str, text: str, path: str, title: Colu
     """Write an inverted index once: postings by token (sharded and sorted by it), and the collection's statistics.
 
     Searches read only the shards of their tokens, and Parquet's statistics skip within them.
+    Null and empty texts count as documents without tokens; rows that repeat a key are one
+    document of all their tokens; an empty table gives an empty index.
     """
-    words = docs.select(F.col(doc_key).alias("doc"), tokens(text).alias("_t"), (F.array_distinct(tokens(title)) if title is not None else F.array().cast("array<string>")).alias("_title"))
+    scan = spread(docs)
+    words = scan.select(F.col(doc_key).alias("doc"), tokens(text).alias("_t"), (F.array_distinct(tokens(title)) if title is not None else F.array().cast("array<string>")).alias("_title"))
     held = words.select("doc", F.size("_t").alias("len"), "_title", F.explode("_t").alias("token"))
     held = held.select("doc", "len", "token", F.array_contains("_title", F.col("token")).alias("in_title"))
     tf = held.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("in_title").alias("in_title"))
-    stats = length_stats(docs, text)
     shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")
     tf.withColumn("shard", shard).repartition("shard", F.pmod(F.xxhash64("token"), F.lit(shards * 16))).sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
     kept = docs.sparkSession.read.parquet(f"{path}/postings")
+    # the texts are tokenised once: lengths are sums of what is stored
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    stats = kept.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_all")).crossJoin(n).select("n", (F.col("_all") / F.greatest("n", F.lit(1))).alias("avg_len"))
     document_frequencies(kept.select("doc", "token"), stats.select("n")).withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/tokens")
     stats.withColumn("shards", F.lit(shards)).write.mode("overwrite").parquet(f"{path}/stats")
 

@@ -106,6 +106,10 @@ def order_statistics(rows: DataFrame, group: str | None, x: str, points: dict[st
     return n.groupBy(*keys).agg(F.max("_all").alias("n"), *picks)
 
 
+#: Draws that one row of a bootstrap expands to.
+DRAWS = 1024
+
+
 def bootstrap_ci(diffs: DataFrame, key: str, diff: str, rounds: int = 10_000, low: float = 0.025, high: float = 0.975, seed: str = "") -> DataFrame:
     """n, mean, lo, hi: percentile interval of the mean by resampling.
 
@@ -115,8 +119,10 @@ def bootstrap_ci(diffs: DataFrame, key: str, diff: str, rounds: int = 10_000, lo
     """
     spark = diffs.sparkSession
     rows = diffs.select(diff, (F.row_number().over(W.orderBy(key)) - 1).cast("long").alias("_i"))
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    draws = spark.range(rounds).withColumnRenamed("id", "_r").crossJoin(F.broadcast(n)).select("_r", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_j"))
+    n = rows.count()
+    per = -(-n // DRAWS)  # tasks' rows hold at most DRAWS draws of a round
+    draws = spark.range(rounds * per).select(F.expr(f"id div {max(per, 1)}").alias("_r"), (F.col("id") % max(per, 1) * DRAWS).alias("_from"), F.lit(n).cast("long").alias("_n"))
+    draws = draws.select("_r", "_n", F.explode(F.sequence("_from", F.least(F.col("_from") + DRAWS, "_n") - 1)).alias("_j"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_r").cast("string"), F.col("_j").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") % F.col("_n")
     means = draws.select("_r", pick.alias("_i")).join(rows, "_i").groupBy("_r").agg(F.round(F.avg(diff), 9).alias("_m"))
     place = F.row_number().over(W.orderBy("_m", "_r")) - 1

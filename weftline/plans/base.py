@@ -18,10 +18,10 @@ class Tables:
     """The tables of a folder, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self._dir = spark, sf_dir
+        self.spark, self.folder = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self._dir, name)
+        return table(self.spark, self.folder, name)
 
 
 def query(sql: str | None = None):

@@ -66,7 +66,7 @@ def numbering_gaps(t: Tables):
 def stream_windows(t: Tables):
     """Daily windows over the events as a stream, written by its micro-batches."""
     spark = t.spark
-    stream = flows.file_stream(spark, f"{t._dir}/events.parquet*", t.events.schema)
+    stream = flows.file_stream(spark, f"{t.folder}/events.parquet*", t.events.schema)
     days = flows.windowed(stream, "ts", ["event_type"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")], "1 day")
     at = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = days.writeStream.outputMode("complete").option("checkpointLocation", at + "-state").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(at)).trigger(availableNow=True).start()

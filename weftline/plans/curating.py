@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, similarity_normal, split_words, strict_normal
 from ..operators import curation as K
 from ..operators import records as R
+from ..session import spread
 from ..sources.sinks import scratch
 from .base import Tables, query
 
@@ -36,11 +37,17 @@ def reason_counts(t: Tables):
 _SETS = f"s AS (SELECT doc_id, {_NORM.format(c='text')} AS normal FROM documents), w AS (SELECT doc_id, {_WORDS.format(n='normal')} AS words FROM s), e AS (SELECT doc_id, unnest(words) AS w FROM w)"
 
 
+def _sets(t: Tables):
+    """Word sets, computed once."""
+    sets = K.token_sets(spread(t.documents.select("doc_id", "text")), "doc_id", "text").where(F.size("words") > 0)
+    return scratch(t.spark)(sets.select("doc_id", "words"))
+
+
 @query(f"""WITH {_SETS}, i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.w = b.w AND a.doc_id > b.doc_id GROUP BY ALL)
 SELECT i.a, i.b, round(k / (len(x.words) + len(y.words) - k), 6) AS jaccard FROM i JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b WHERE k / (len(x.words) + len(y.words) - k) >= 0.5""")
 def jaccard_pairs(t: Tables):
     """Document pairs whose word sets are similar."""
-    sets = K.token_sets(t.documents, "doc_id", "text").where(F.size("words") > 0).select("doc_id", "words")
+    sets = _sets(t)
     return K.jaccard_pairs(sets, None, "doc_id", 0.5).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -70,7 +77,7 @@ walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM q) UNION ALL SELECT unnest(kept) FROM walk WHERE i = (SELECT coalesce(max(i), 0) FROM q)""")
 def greedy_dedup(t: Tables):
     """Documents that stay when each is compared with kept earlier ones only."""
-    sets = K.token_sets(t.documents, "doc_id", "text").where(F.size("words") > 0).select("doc_id", "words")
+    sets = _sets(t)
     return K.greedy_keep(t.documents.select("doc_id"), K.jaccard_pairs(sets, None, "doc_id", 0.5), "doc_id", scratch(t.spark))
 
 

@@ -67,7 +67,7 @@ def fact_partial_credit(t: Tables):
     return _pairs(t).select("conv_id", G.score_fact("f1", "a")["score"].alias("own"), G.score_fact("q", "a")["score"].alias("question"))
 
 
-@query("""SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE), (4, TRUE), (5, TRUE)) v(id, violated)""")
+@query("""SELECT * FROM (VALUES (1, FALSE), (2, FALSE), (3, FALSE), (4, TRUE), (5, TRUE), (6, TRUE), (7, TRUE), (8, FALSE)) v(id, violated)""")
 def forbidden_framing(t: Tables):
     rows = [
         (1, "Section 154 old code as current law", "Use Section 154 of the old code today."),
@@ -75,6 +75,9 @@ def forbidden_framing(t: Tables):
         (3, "Section 154 old code as current law", "Nothing of the kind."),
         (4, "pay cash", "You should pay cash at once."),
         (5, "Section 154 old code still applies", "Section 154 old code was repealed. But file under Section 154 old code now."),
+        (6, "Section 154 old code as current law", "Use Section 154 old code today."),
+        (7, "Section 154 old code अभी भी लागू", "File under Section 154 old code."),
+        (8, "Section 154 old code is enforceable", "धारा 154 old code अब निरस्त है।"),
     ]
     df = t.spark.createDataFrame(rows, "id int, fact string, response string")
     return df.select("id", G.forbidden_present("fact", "response").alias("violated"))
@@ -187,12 +190,12 @@ def order_stats(t: Tables):
 
 
 @query("""WITH d AS (SELECT CAST(floor(s_acctbal) AS BIGINT) AS x, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier), n AS (SELECT count(*) AS n FROM d),
-w AS (SELECT r.range AS r, CAST('0x' || substr(md5('b:' || r.range || ':' || j.range), 1, 12) AS BIGINT) % n AS i FROM range(200) r, n, range((SELECT n FROM n)) j),
+w AS (SELECT r.range AS r, CAST('0x' || substr(md5('b:' || r.range || ':' || j.range), 1, 12) AS BIGINT) % n AS i FROM range(10000) r, n, range((SELECT n FROM n)) j),
 m AS (SELECT r, round(avg(x), 9) AS m FROM w JOIN d USING (i) GROUP BY r), o AS (SELECT m, row_number() OVER (ORDER BY m, r) - 1 AS p FROM m)
-SELECT (SELECT n FROM n) AS n, (SELECT round(avg(x), 6) FROM d) AS mean, max(m) FILTER (p = 5) AS lo, max(m) FILTER (p = 195) AS hi FROM o""")
+SELECT (SELECT n FROM n) AS n, (SELECT round(avg(x), 6) FROM d) AS mean, max(m) FILTER (p = 250) AS lo, max(m) FILTER (p = 9750) AS hi FROM o""")
 def bootstrap_ci(t: Tables):
     d = t.supplier.select("s_suppkey", F.floor("s_acctbal").cast("long").alias("x"))
-    return M.bootstrap_ci(d, "s_suppkey", "x", rounds=200, seed="b")
+    return M.bootstrap_ci(d, "s_suppkey", "x", seed="b")
 
 
 @query("""WITH p AS (SELECT quality * 1.0::DOUBLE AS a, 1.0::DOUBLE - toxic AS b FROM labels)

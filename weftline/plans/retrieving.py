@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
@@ -9,7 +11,8 @@ from ..functions.text import percent, row_words, tokens, word_count
 from ..operators import context as X
 from ..operators import index as I
 from ..operators import records as R
-from ..sources.sinks import scratch
+from ..sources.readers import exists
+from ..sources.sinks import scratch, scratch_folder
 from .base import Tables, query
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9ऀ-ॿ]+')"
@@ -29,9 +32,22 @@ s AS (SELECT item_id, t.doc_id, round(sum(m * (idf * tf * 2.5 / (tf + 1.5 * (0.2
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= {k})"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(t: Tables) -> str:
+    """The stored index of the documents; built once in a session, and again if its folder has gone."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INDEXES or not exists(t.spark, f"{_INDEXES[key]}/stats/_SUCCESS"):
+        _INDEXES[key] = f"{scratch_folder(t.spark)}/weftline-index-{uuid.uuid4().hex}"
+        first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+        I.build_index(t.documents.select("doc_id", "text"), "doc_id", "text", _INDEXES[key], first, shards=8)
+    return _INDEXES[key]
+
+
 def bm25(t: Tables, k: int, title: bool = False):
-    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1) if title else None
-    return I.bm25(t.benchmark, t.documents, "item_id", "doc_id", "text", "text", first, k)
+    found = I.search_index(t.spark, _index(t), t.benchmark, "item_id", "text", k, title_bonus=I.TITLE_BONUS if title else 0.0)
+    return found.withColumnRenamed("doc", "doc_id")
 
 
 @query(f"WITH d AS (SELECT doc_id, unnest({_TOK}) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM d GROUP BY ALL) SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_tokens, count(*) AS n_distinct, max(tf) AS max_tf FROM tf GROUP BY doc_id")

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,6 +25,12 @@ def ship(spark: SparkSession) -> None:
     sc._weftline_shipped = True
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores where it has fewer partitions, as a single file's has; else the scan itself."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def local_session(cores: int | str = "*", name: str = "weftline", **conf: str) -> SparkSession:
     """A session for one machine; on a cluster, build your own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(name)

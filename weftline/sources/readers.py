@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,12 @@ from ..functions.text import hash_order
 from . import schemas
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, by the file system that its address names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +50,7 @@ def generation_rows(spark: SparkSession, folder: str, exclude: str = "law_mappin
 def first_existing(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """The first of the files that exists; fails if it is empty or none exists."""
     for p in paths:
-        if Path(p.removeprefix("file://")).exists():
+        if exists(spark, p):
             df = json_lines(spark, p, schema)
             if not df.limit(1).count():
                 raise ValueError(f"no records in {p}")
@@ -115,7 +120,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str, schema: str = schemas.ASSET) -> DataFrame:
     """The manifest, or an empty table of its schema."""
-    return json_lines(spark, path, schema) if Path(path.removeprefix("file://")).exists() else spark.createDataFrame([], schema)
+    return json_lines(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def messages_only(records: DataFrame, most: int | None = None) -> DataFrame:
@@ -148,6 +153,6 @@ def vectors(spark: SparkSession, folder: str, model: str, passages: DataFrame, k
     row = F.xxhash64(F.lit(model), key, text).cast("decimal(38,0)")
     mark = passages.agg(F.sum(row).alias("s"), F.count(F.lit(1)).alias("n")).first()
     at = f"{folder}/vectors-{model.replace('/', '__')}-{mark['n']}-{abs(int(mark['s'] or 0)):x}"
-    if not Path(at.removeprefix("file://"), "_SUCCESS").exists():
+    if not exists(spark, f"{at}/_SUCCESS"):
         embed(passages.select(key, text)).select(key, "embedding").write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)

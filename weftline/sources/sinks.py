@@ -71,8 +71,17 @@ def config_path(root: str, settings: dict) -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that the session names and all executors share; a temporary one only where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")).rstrip("/")
+    """The folder that the session names and all executors share.
+
+    Only on one machine, and where none is named, a temporary one is made and remembered.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.weftline.scratch", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        spark.conf.set("spark.weftline.scratch", at)
+    return at.rstrip("/")
 
 
 def scratch(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
