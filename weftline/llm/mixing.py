@@ -186,13 +186,11 @@ def mixed_documents(docs: DataFrame, block: int = 4096, weights: tuple[int, ...]
     return took.unionByName(rest).drop("source_key", "from_word")
 
 
-def _first_words(text: bytes, n: int) -> bytes:
+def _first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
-    from .common import _SPACE, runs
-
-    data = np.frombuffer(text, np.uint8)
-    _, end, _ = runs(~_SPACE[data], np.array([0, len(data)]))
-    return text[: end[n - 1]] if n <= len(end) else text
+    space = r"[\x20\x09-\x0D]"
+    ends = F.split(text, rf"(?<=[^\x20\x09-\x0D])(?={space})")  # each piece but the last ends with a word
+    return F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")
 
 
 def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "", block: int = 4096) -> DataFrame:
@@ -219,23 +217,14 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     # rows of equal hashes are equal rows, so any of them serves all their places
     whole = docs.select(*marks, packed(docs)).dropDuplicates(["row_hash", "row_hash2"])
     rows = rows.join(whole, ["row_hash", "row_hash2"])
-    rows = rows.select(*[F.col("row").getField(f"c{i}").alias(f"c{i}") for i in range(len(names))], *place, "_words")
     parts = min(-(-slots // SLOTS_PER_PART), MOST_PARTS)
     rows = rows.repartitionById(parts, F.floor(F.col("slot") * parts / slots).cast("int")).sortWithinPartitions(*place)
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns[: len(names)]
-            limit = batch.column(len(names) + len(place))
-            if limit.null_count < len(limit):  # few rows: a source's last
-                columns[at] = pa.array([t if w is None else _first_words(t.encode(), w).decode() for t, w in zip(columns[at].to_pylist(), limit.to_pylist(), strict=True)], columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(names)])
-
-    out = rows.mapInArrow(run, T.StructType(rows.schema.fields[: len(names)]))
+    fields = {c: F.col("row").getField(f"c{i}") for i, c in enumerate(names)}
+    text = fields["text"]
+    fields["text"] = F.when(F.col("_words").isNull(), text).otherwise(_first_words(text, F.col("_words")))  # a source's last alone
     if "n_chars" in names:
-        out = out.withColumn(f"c{names.index('n_chars')}", F.length(f"c{at}").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+        fields["n_chars"] = F.length(fields["text"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in fields.items()])
 
 
 def _row_hashes(docs: DataFrame) -> list[Column]:
