@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -53,7 +53,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a driver that has fitted a model runs on for long."""
+    """Return freed memory to the system: a driver that has fitted a model runs on for long, as do workers."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -112,6 +112,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    give_back()  # workers outlive their tasks
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, held_by, lower, mix64, packed, salted_lookup, saved, sliced, span_hashes, texts, unpacked, words
+from .common import col, give_back, held_by, lower, mix64, packed, salted_lookup, saved, sliced, span_hashes, texts, unpacked, words
 
 HASHES = 64
 LEAF = 256
@@ -261,6 +261,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int = 3, most: int = 8 << 2
         size = held[0].nbytes if len(borders) == 0 else 0
     if held:
         yield piece(held)
+        held.clear()
+    give_back()
 
 
 def _nibbles(sig: np.ndarray) -> np.ndarray:

@@ -23,7 +23,6 @@ length.  Scoring is one pass without a shuffle, with 8 MB of weights broadcast.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -172,18 +171,16 @@ def _unlike(labelled: list[tuple[str, bool]], least: int = 32) -> list[tuple[str
     Copies agree with an earlier text of their class in ``least`` of 64 minwise samples of 3-grams.
     """
     kept: list[tuple[str, bool]] = []
-    where: dict[tuple[bool, int], list[int]] = {}
+    seen = {c: np.zeros((sum(y == c for _, y in labelled), 64), np.uint32) for c in (False, True)}
+    count = {False: 0, True: 0}
     for batch in sliced([pa.RecordBatch.from_arrays([pa.array([x for x, _ in labelled], pa.large_string()), pa.array(range(len(labelled)))], names=["text", "n"])]):
         grams, off = gram_sets(batch.column(0), 3)
-        samples = minwise(grams, off)
-        for n, row in zip(batch.column(1).to_pylist(), samples.tolist(), strict=True):
-            spots = [(labelled[n][1], i << 32 | v) for i, v in enumerate(row)]
-            seen = Counter(k for at in spots for k in where.get(at, ()))
-            if seen and max(seen.values()) >= least:
-                continue
-            for at in spots:
-                where.setdefault(at, []).append(n)
-            kept.append(labelled[n])
+        for n, sample in zip(batch.column(1).to_pylist(), minwise(grams, off), strict=True):
+            c = labelled[n][1]
+            if ((seen[c][: count[c]] == sample).sum(1) < least).all():
+                seen[c][count[c]] = sample
+                count[c] += 1
+                kept.append(labelled[n])
     return kept
 
 
