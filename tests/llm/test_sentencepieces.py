@@ -1,3 +1,5 @@
+import hashlib
+import io
 from collections import Counter
 
 import numpy as np
@@ -96,3 +98,74 @@ def test_best_encoding_decodes(spark):
     df = documents(spark).where("doc_id in (1, 3)").dropDuplicates(["doc_id"])
     back = {r["doc_id"]: r["text"] for r in m.decode(m.encode_best(df), "doc_id").collect()}
     assert back == {r["doc_id"]: r["text"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("power", [1.0, 3.0, 6.0])
+def test_no_segmentation_is_too_unlikely(power):
+    with open(m.MODEL, "rb") as f:
+        p = m.Pieces(f.read(), power)
+    for text in ("a\nb 日é", "  x", "aaaa", "the cat"):
+        want = lattice(p, text)
+        s, rows = draw(p, text, 5, len(want) + 3)
+        assert all({r[j] for r in rows if r[j] is not None} == set(want) for j in range(5))
+        assert all(abs(s.log_p[i][0] - np.log(want[r[0]])) < 1e-6 for i, r in enumerate(rows) if r[0] is not None)
+
+
+def test_query_gives_all_ids(spark, pieces):
+    from weftline.llm.queries import op7_sentencepieces
+
+    at = "/root/testdata/sf0.001"
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    got = op7_sentencepieces(spark, at).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    for r in got:
+        assert len(r["samples"]) == r["n_samples"] and [len(x) for x in r["samples"]] == r["n_pieces"]
+        for ids, digest in zip(r["samples"], r["ids_sha256"], strict=True):
+            assert hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() == digest
+            assert b"".join(pieces.spelling[i] for i in ids).decode() == (" " + text[r["doc_id"]] if text[r["doc_id"]] else "")
+
+
+def test_ids_of_rows_with_few_samples(spark):
+    got = m.sample(documents(spark), k=40, ids=True, each=True).collect()
+    assert {r["n_samples"] for r in got} > {1, 40}
+    assert all([len(x) for x in r["samples"]] == r["n_pieces"] and r["samples"][0] == r["pieces"] for r in got)
+
+
+@pytest.mark.parametrize("spells", [False, True])
+def test_other_models_normalise_as_they_do(spark, tmp_path, spells):
+    import sentencepiece
+
+    words = "the cat sat on the mat and the dog ate the fat rat at ten then ran".split()
+    lines = [" ".join(words[(i * j) % len(words)] for j in range(1, 8)) for i in range(1, 200)]
+    made = io.BytesIO()
+    own = {"byte_fallback": True, "add_dummy_prefix": False} if spells else {}
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_writer=made, model_type="unigram", vocab_size=330 if spells else 50, hard_vocab_limit=False, pad_id=0, unk_id=2, bos_id=-1, eos_id=1, user_defined_symbols=["<sep>"], minloglevel=2, **own
+    )
+    at = tmp_path / "unigram.model"
+    at.write_bytes(made.getvalue())
+    sp = sentencepiece.SentencePieceProcessor(model_proto=made.getvalue())
+    data = ["  ｔｈｅ   cat ", "the 日本 rat", "the<sep>cat", " \t ", "日", "fat mat 日x日"]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    out = m.sample(df, k=512, ids=True, each=True, model=str(at)).cache()
+    for r in out.collect():
+        text = data[r["doc_id"]]
+        assert {tuple(x) for x in r["samples"]} == {tuple(x) for x in sp.nbest_encode(text, nbest_size=512)} | ({()} if not sp.encode(text) else set())
+        assert r["round_trip"] == all(sp.unk_id() not in x for x in r["samples"])
+        best = r["samples"][int(np.argmax(r["log_prob"]))]
+        assert best == sp.encode(text)
+    back = {r["doc_id"]: r["text"] for r in m.decode(out, "doc_id", model=str(at)).collect()}
+    assert all(back[r["doc_id"]] == sp.decode(r["pieces"]) for r in out.collect())
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.range(3).selectExpr("id AS doc_id", "cast(X'61FF62' AS string) AS text")
+    assert [(r["round_trip"], r["n_samples"]) for r in m.sample(df).collect()] == [(True, 2)] * 3
+
+
+def test_stretches_whose_hashes_clash(spark):
+    a = "".join("ab"[i.bit_count() & 1] for i in range(1024))  # no hash by powers modulo 2**64 tells this sequence from its mirror
+    b = a.translate({97: 98, 98: 97})
+    alone = {r["doc_id"]: r["ids_sha256"] for t in ((0, a), (1, b)) for r in m.sample(spark.createDataFrame([t], "doc_id long, text string")).collect()}
+    got = m.sample(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string").coalesce(1)).collect()
+    assert all(r["round_trip"] and r["ids_sha256"] == alone[r["doc_id"]] for r in got)

@@ -47,9 +47,9 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every whole text, with inclusion scores."""
+    """Two sampled segmentations of every whole text: all their ids, with inclusion scores."""
     ship(spark)
-    return sentencepieces.sample(table(spark, sf_dir, "documents"))
+    return sentencepieces.sample(table(spark, sf_dir, "documents"), each=True)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ The pieces of a model span a lattice over each normalised text: every path from
 its start to its end is a segmentation.  ``sample`` draws the top k segmentations
 under Gumbel perturbation, which is sampling without replacement from the paths'
 distribution.  The search is A*: a region of paths that share a prefix and avoid
-some next pieces is known by its mass, which backward sums give exactly; its
-perturbed maximum is drawn before its paths are.  The region of the largest
+some next pieces is known by its mass, which backward sums give; its perturbed
+maximum is drawn before its paths are.  Masses are logarithms, and that of a region is
+summed over the pieces left in it, so the unlikeliest path is found once k asks for it.  The region of the largest
 maximum yields the next sample and is split along that sample's path.  Each sample
 has its log probability and the log of its inclusion probability, given the
 (k+1)-th maximum (Kool et al., 2019).  All draws follow from the row key, the
@@ -15,16 +16,18 @@ Lattices factorise: no piece crosses a border between two bytes that are adjacen
 piece, so texts are cut there, equal stretches share one lattice, and stretches of
 one slice of rows run in step.  Whole texts are covered, whatever their length.
 
-Piece weights: a unigram model's scores are log probabilities.  A BPE model's
-scores are ranks; they count as Zipf's law, log p = -power * log(rank + 1) + const.  A
-character without a piece is spelled by its byte pieces, each as likely as the
-last rank.
-
-Defined cases: null and empty texts have no pieces and one empty segmentation of
-probability 1; a text with fewer than k segmentations yields all of them, with
-inclusion 1; U+2581 counts as a space, as the model treats it; a null key seeds
-as 0; rows that repeat give the same samples.  Decoding drops the model's leading
-space.
+Texts are normalised by the model's own rules, whichever they are.  Piece weights: a
+unigram model's scores are log probabilities, and a user's symbol has the weight that
+the model gives it.  A BPE model's scores are ranks; they count as Zipf's law,
+log p = -power * log(rank + 1) + const.  A character without a piece is spelled by its
+byte pieces, each as likely as the last rank; a model that has none gives its unknown
+piece once for a run of such characters.
+
+Defined cases: null texts and those that normalise to nothing have no pieces and one
+empty segmentation of probability 1; a text with fewer than k segmentations yields all
+of them, with inclusion 1; U+2581 counts as a space, as the model treats it; bytes that
+aren't UTF-8 are U+FFFD; a null key seeds as 0; rows that repeat give the same samples.
+Decoding drops the space that the model adds.
 """
 
 from __future__ import annotations
@@ -38,13 +41,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, col, mix64, sliced, span_hashes, texts, uniform
+from .common import code_points, col, mix64, sliced, span_hashes, uniform
 
 #: The model that is read where neither a call nor the session's spark.weftline.sentencepiece names one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose lattices are built at once; more would miss the CPU's caches.
 SLICE = 512 << 10
 _END = 255  # ends a stretch; never a byte of UTF-8
+_SPACE = "▁".encode()
 
 
 class Pieces:
@@ -58,6 +62,8 @@ class Pieces:
         self.byte_id = np.zeros(256, np.int32)
         spelled, scores = {}, {}
         self.spelling: list[bytes] = [b""] * n
+        self.sp, self.unknown = sp, sp.unk_id()
+        self.leads, self.trails = sp.normalize(b"a").startswith(_SPACE), sp.normalize(b"a").endswith(_SPACE)
         for i in range(n):
             if sp.is_byte(i):
                 b = int(sp.id_to_piece(i)[3:-1], 16)
@@ -66,15 +72,23 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.spelling[i] = sp.id_to_piece(i).replace("▁", " ").encode()
                 spelled[self.spelling[i]], scores[i] = i, sp.get_score(i)
+        self.spells = any(sp.is_byte(i) for i in range(n))
+        if not self.spells:
+            self.byte_id[:] = self.unknown
+            self.spelling[self.unknown] = sp.decode([self.unknown]).encode()
         score = np.array([scores.get(i, 0.0) for i in range(n)])
+        known = np.array(sorted(scores), np.int64)
         if score.size and (score == np.rint(score)).all():
-            known = np.array(sorted(scores), np.int64)
             rank = np.argsort(np.argsort(-score[known], kind="stable")) + 1.0
             total = np.log(np.sum((np.arange(1, len(known) + 257) + 1.0) ** -power))
             self.weight = np.full(n, -power * np.log(len(known) + 257.0) - total)
             self.weight[known] = -power * np.log(rank + 1) - total
         else:
-            self.weight = power * np.where(score == 0, score.min() - 10, score)
+            self.weight = np.full(n, score.min() - 10)
+            self.weight[known] = score[known]
+            own, best = known[score[known] == 0], score[score < 0].max()  # a user's symbols have no score
+            self.weight[own] = [len(self.spelling[i].decode()) * best - 0.1 for i in own]
+            self.weight *= power
         self.byte_weight = float(self.weight[self.byte_id].min())
         self.length = np.array([len(x) for x in self.spelling], np.int64)
         self.flat = np.frombuffer(b"".join(self.spelling), np.uint8)
@@ -102,6 +116,11 @@ class Pieces:
         for r, k in enumerate(inner):
             self.table[r, list(children[k])] = list(children[k].values())
 
+    def normalized(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of the texts as the model normalises them; null counts as empty."""
+        done = [self.sp.normalize(x).replace(_SPACE, b" ") if x else b"" for x in column.cast(pa.large_binary()).to_pylist()]
+        return np.frombuffer(b"".join(done), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in done], dtype=np.int64)))
+
 
 class Lattices:
     """The lattices of distinct stretches, end to end in one buffer; nodes are its places."""
@@ -144,7 +163,7 @@ class Lattices:
         for a, slot, b, p in found:
             at = self.ptr[a] + slot
             self.dst[at], self.piece[at], self.src[at] = b, p, a
-        w = np.where(self.piece >= 0, pieces.weight[self.piece], pieces.byte_weight * (self.dst - self.src))
+        w = np.where(self.piece >= 0, pieces.weight[self.piece], pieces.byte_weight * (self.dst - self.src if pieces.spells else 1))
         # backward sums, nodes of one place in their stretches at a time, the last first
         place = np.arange(n) - np.repeat(base, np.diff(np.concatenate((base, [n]))))
         live = np.flatnonzero(deg)
@@ -164,27 +183,40 @@ class Lattices:
                 e = ptr[more] + j
                 total[more] = np.logaddexp(total[more], w[e] + beta[self.dst[e]])
             beta[nodes] = total
-        self.beta, self.weight = beta, w
-        self.q = np.exp(w + beta[self.dst] - beta[self.src]) if m else np.zeros(0)
-        self.cum = self.q.copy()
+        self.log_q = w + beta[self.dst] - beta[self.src] if m else np.zeros(0)
+        self.cum = np.exp(self.log_q)
         nodes = live
         for j in range(1, int(deg.max()) if n else 0):
             nodes = nodes[deg[nodes] > j]
             e = self.ptr[nodes] + j
             self.cum[e] += self.cum[e - 1]
 
+    def others(self, edge: np.ndarray) -> np.ndarray:
+        """Log of the share of the paths through each edge's node that take another edge."""
+        ptr, d, own = self.ptr[self.src[edge]], self.deg[self.src[edge]], self.log_q[edge]
+        out = np.full(len(edge), -np.inf)
+        far = own < -1e-3
+        out[far] = np.log(-np.expm1(own[far]))
+        out[d < 2] = -np.inf
+        at = np.flatnonzero(~far & (d > 1))  # here 1 - q has few digits, or none
+        for j in range(int(d[at].max()) if len(at) else 0):
+            at = at[d[at] > j]
+            on = at[ptr[at] + j != edge[at]]
+            out[on] = np.logaddexp(out[on], self.log_q[ptr[on] + j])
+        return out
+
 
 class Slice:
     """Texts of one slice: their buffer, stretches and lattices."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, pieces: Pieces):
+    def __init__(self, data: np.ndarray, off: np.ndarray, pieces: Pieces, lead: bool = True):
         rows = len(off) - 1
         size = np.diff(off)
         full = size > 0
-        self.off = np.concatenate(([0], np.cumsum(size + full)))
-        self.buf = np.full(self.off[-1], 32, np.uint8)  # each text gets the model's leading space
+        self.off = np.concatenate(([0], np.cumsum(size + (full & lead))))
+        self.buf = np.full(self.off[-1], 32, np.uint8)  # texts that aren't normalised yet get a leading space
         body = np.ones(len(self.buf), bool)
-        body[self.off[:-1][full]] = False
+        body[self.off[:-1][full & lead]] = False
         self.buf[body] = data
         self.pieces, self.rows = pieces, rows
         if not len(self.buf):
@@ -196,8 +228,14 @@ class Slice:
         self.start = np.flatnonzero(cut)
         end = np.concatenate((self.start[1:], [len(self.buf)]))
         self.row = np.searchsorted(self.off, self.start, "right") - 1
+        size = end - self.start
         _, first, which = np.unique(span_hashes(self.buf, self.start, end), return_index=True, return_inverse=True)
-        length = (end - self.start)[first]
+        twin = np.repeat(self.start[first[which]] - self.start, size)  # to the same place in the first of its kind
+        if (size[first[which]] != size).any() or (self.buf[np.arange(len(self.buf)) + twin] != self.buf).any():
+            seen: dict[bytes, int] = {}  # hashes clash, so bytes decide
+            which = np.array([seen.setdefault(self.buf[a:b].tobytes(), len(seen)) for a, b in zip(self.start.tolist(), end.tolist(), strict=True)])
+            _, first = np.unique(which, return_index=True)
+        length = size[first]
         base = np.concatenate(([0], np.cumsum(length + 1)))[:-1]
         total = int((length + 1).sum())
         joined = np.full(total, _END, np.uint8)
@@ -295,11 +333,12 @@ class Samples:
                 node = int(t.src[e])
                 a, b = int(t.ptr[node]), int(t.ptr[node] + t.deg[node])
                 free = [y for y in range(a, b) if y not in out]
-                share = np.cumsum(t.q[free])
-                pick = free[min(int(np.searchsorted(share, u[r] * share[-1], "right")), len(free) - 1)]
+                log_q = t.log_q[free]
+                share = np.cumsum(np.exp(log_q - log_q.max()))
+                nth = min(int(np.searchsorted(share, u[r] * share[-1], "right")), len(free) - 1)
+                pick = free[nth]
                 out.append(pick)
-                left = sum(t.q[y] for y in free if y != pick)
-                mass = self.before[i][j] + (np.log(left) if left > 0 else -np.inf)
+                mass = self.before[i][j] + np.logaddexp.reduce(np.delete(log_q, nth))
                 regions[i][j] = _gumbel_below(np.array([mass]), best[r : r + 1], v[r : r + 1])[0] if len(free) > 1 else -np.inf
                 x0[r], step[r] = x, pick
             for i in range(len(self.found)):
@@ -326,18 +365,18 @@ class Samples:
         pos = np.flatnonzero(edge_at >= 0)
         edge = edge_at[pos]
         row = np.searchsorted(s.off, pos, "right") - 1
-        q = t.q[edge]
+        log_q = t.log_q[edge]
         count = np.bincount(row, minlength=s.rows)
         first = np.concatenate(([0], np.cumsum(count)))
-        log_q, before, whole = np.log(q), np.zeros(len(q)), np.zeros(s.rows)
+        before, whole = np.zeros(len(log_q)), np.zeros(s.rows)
         for r in np.flatnonzero(count).tolist():  # sums of each row alone, so that slices don't change their rounding
             a, b = first[r], first[r + 1]
             run = np.cumsum(log_q[a:b])
             before[a + 1 : b], whole[r] = run[:-1], run[-1]
         self.log_p.append(whole)
-        with np.errstate(divide="ignore"):
-            mass = before + np.log(np.maximum(1 - q, 0))
-        mass[(t.deg[t.src[edge]] < 2) | (pos <= after[row])] = -np.inf
+        mass = np.full(len(pos), -np.inf)
+        new = pos > after[row]
+        mass[new] = before[new] + t.others(edge[new])
         regions.append(_gumbel_below(mass, top[row], uniform(mix64(key[row] + pos.astype(np.uint64)))))
         self.found.append((pos, edge))
         self.rows_of.append(row)
@@ -352,6 +391,9 @@ class Samples:
         t = s.lattice
         piece = t.piece[edge]
         count = np.where(piece < 0, t.dst[edge] - t.src[edge], 1)
+        if not s.pieces.spells:  # the unknown piece, once for each run
+            again = (piece[1:] < 0) & (piece[:-1] < 0) & (self.rows_of[i][1:] == self.rows_of[i][:-1])
+            count = np.where(np.concatenate(([False], again)), 0, 1)
         ids = np.repeat(piece, count)
         spelled = np.flatnonzero(ids < 0)
         if len(spelled):
@@ -370,7 +412,7 @@ class Samples:
 
 
 def decoded(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """The bytes that ids spell, the leading space included."""
+    """The bytes that ids spell, the model's own space included."""
     n = pieces.length[ids]
     end = np.cumsum(n)
     if not len(ids):
@@ -396,13 +438,6 @@ def _spells(ids: np.ndarray, at: np.ndarray, s: Slice, p: Pieces) -> np.ndarray:
     return np.array([np.array_equal(raw[end[r] : end[r + 1]], s.buf[off[r] : off[r + 1]]) for r in range(s.rows)], bool)
 
 
-def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, off = texts(column)
-    if len(data) > 2 and ((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)).any():
-        data, off = texts(pc.replace_substring(column, "▁", " "))
-    return data, off
-
-
 def _model(docs: DataFrame, path: str | None):
     with open(path or docs.sparkSession.conf.get("spark.weftline.sentencepiece", MODEL), "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())  # half a megabyte, whatever the data
@@ -411,12 +446,12 @@ def _model(docs: DataFrame, path: str | None):
 DIGESTS = "n_samples int, n_pieces array<int>, log_prob array<double>, log_inclusion array<double>, ids_sha256 array<string>, round_trip boolean"
 
 
-def sample(docs: DataFrame, key: str = "doc_id", k: int = 2, power: float = 1.0, seed: int = 0, model: str | None = None, carry: tuple[str, ...] = (), ids: bool = False) -> DataFrame:
+def sample(docs: DataFrame, key: str = "doc_id", k: int = 2, power: float = 1.0, seed: int = 0, model: str | None = None, carry: tuple[str, ...] = (), ids: bool = False, each: bool = False) -> DataFrame:
     """``key``, ``carry`` and k segmentations per row, without a shuffle.
 
     Digests of little-endian 32-bit ids by default; with ``ids``, also the first
-    sample's ids, as an array ``pieces``.  ``round_trip``: all samples decode to the
-    normalised text.
+    sample's ids, as an array ``pieces``; with ``each``, those of all samples, as an
+    array ``samples`` of arrays.  ``round_trip``: all samples decode to the normalised text.
     """
     var = _model(docs, model)
     names = [key, *carry]
@@ -424,14 +459,13 @@ def sample(docs: DataFrame, key: str = "doc_id", k: int = 2, power: float = 1.0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(var, power)
         for batch in sliced(batches, "_text", SLICE):
-            data, off = _plain(batch.column(len(names) + 1))
-            s = Slice(data, off, p)
+            s = Slice(*p.normalized(batch.column(len(names) + 1)), p, lead=False)
             keys = mix64(pc.fill_null(batch.column(len(names)), 0).to_numpy().view(np.uint64) + np.uint64(seed))
             found = Samples(s, keys, k)
             rows = range(s.rows)
             out: list[list[list]] = [[[] for _ in rows] for _ in range(4)]
             same = np.ones(s.rows, bool)
-            first = None
+            lists, drawn = [], []
             for i in range(len(found.found)):
                 x, at = found.ids(i)
                 raw, cut = x.astype("<i4").tobytes(), at.tolist()
@@ -443,19 +477,26 @@ def sample(docs: DataFrame, key: str = "doc_id", k: int = 2, power: float = 1.0,
                     out[1][r].append(lp[r])
                     out[2][r].append(inc[r])
                     out[3][r].append(hashlib.sha256(raw[4 * cut[r] : 4 * cut[r + 1]]).hexdigest())
-                if i == 0:
-                    first = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32()))
+                if each or (ids and i == 0):
+                    lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())))
+                drawn.append(valid)
             columns = [*batch.columns[: len(names)], pa.array([len(v) for v in out[0]], pa.int32()), pa.array(out[0], pa.list_(pa.int32()))]
             columns += [pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.list_(pa.float64())), pa.array(out[3], pa.list_(pa.string())), pa.array(same)]
             labels = [*[f"c{i}" for i in range(len(names))], "n_samples", "n_pieces", "log_prob", "log_inclusion", "ids_sha256", "round_trip"]
             if ids:
-                columns.append(first)
+                columns.append(lists[0])
                 labels.append("pieces")
+            if each:
+                has = np.array(drawn).T
+                order = (np.arange(s.rows)[:, None] + s.rows * np.arange(len(drawn)))[has]
+                cut = np.concatenate(([0], np.cumsum(has.sum(1))))
+                columns.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.concat_arrays(lists).take(pa.array(order))))
+                labels.append("samples")
             yield pa.RecordBatch.from_arrays(columns, names=labels)
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     rows = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(names)], col(key).cast("long").alias("_key"), col("text").alias("_text"))
-    out = rows.mapInArrow(run, f"{kinds}, {DIGESTS}" + ", pieces array<int>" * ids)
+    out = rows.mapInArrow(run, f"{kinds}, {DIGESTS}" + ", pieces array<int>" * ids + ", samples array<array<int>>" * each)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *out.columns[len(names) :])
 
 
@@ -469,7 +510,9 @@ def decode(rows: DataFrame, key: str, column: str = "pieces", model: str | None
             made = []
             for v in batch.column(1):
                 x = None if not v.is_valid else decoded(np.asarray(v.values, np.int64), p).tobytes()
-                made.append(x if x is None else (x[1:] if x[:1] == b" " else x).decode("utf-8", "replace"))
+                if x is not None:
+                    x = x[1:] if p.leads and x[:1] == b" " else x[:-1] if p.trails and x[-1:] == b" " else x
+                made.append(x if x is None else x.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=[key, "text"])
 
     return rows.select(key, column).mapInArrow(run, f"`{key}` {rows.select(key).schema[0].dataType.simpleString()}, text string")
