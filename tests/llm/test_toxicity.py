@@ -200,3 +200,22 @@ def test_excerpts_are_bounded_and_of_whole_words():
         assert most / 2 < len(cut) <= most and set(cut.decode().split()) <= whole
     assert m._excerpt(text.encode(), 1 << 20) == text.encode()
     assert len(m._excerpt(("é" * 9000).encode(), 3001).decode()) > 1000
+
+
+def test_driver_fits_nothing(spark, sf, monkeypatch):
+    """The fit's memory is a worker's; its field is that of the same rows in one process."""
+    import os
+
+    own, here = m.fit, os.getpid()
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    toxic = {r["doc_id"]: bool(r["toxic"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in toxic)
+    want = own([(t, toxic[d]) for d, t in rows], (sum(not y for y in toxic.values()), sum(toxic.values())))
+
+    def elsewhere(labelled, totals=None):
+        assert os.getpid() != here
+        return own(labelled, totals)
+
+    monkeypatch.setattr(m, "fit", elsewhere)
+    got = m.fit_on(docs, labels)
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.move, want.move) and np.allclose(got.doc, want.doc)

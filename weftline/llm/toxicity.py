@@ -18,11 +18,13 @@ Scale: the fit reads at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled document
 (chosen by a hash of the doc_id), whatever the size of the corpus, within
 ``MOST_TOXIC_BYTES`` and ``MOST_CLEAN_BYTES`` of text.  Where a class has more, its
 longest texts give excerpts of equal size, so that none drops out for another's
-length.  Scoring is one pass without a shuffle, with 8 MB of weights broadcast.
+length.  One task fits, so that the driver's memory holds no texts; the field comes
+back to it.  Scoring is one pass without a shuffle, with 4 MB of weights broadcast.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -365,12 +367,22 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     found = _excerpts(found, _levels(found, most))
     size = F.sum(F.octet_length("text")).over(_by_class())  # beyond ``most`` only where doc_ids repeat
     kept = found.withColumn("_size", size).where(F.col("_size") <= most).select("doc_id", "text", "toxic")
-    rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in kept.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    try:
-        return fit([(t, c) for _, t, c in rows], (counts.get(False, 0), counts.get(True, 0)))
-    finally:
+    return _fit_in_worker(kept, (counts.get(False, 0), counts.get(True, 0)))
+
+
+def _fit_in_worker(kept: DataFrame, totals: tuple[int, int]) -> Field:
+    """``fit`` on the rows of ``kept`` (doc_id, text, toxic) in one task: the driver sees neither texts nor what the fit holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((d, t.decode("utf-8", "replace"), c) for b in batches for d, t, c in zip(*[x.to_pylist() for x in b.columns], strict=True))
+        field = fit([(t, c) for _, t, c in rows], totals)
         del rows
         give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], names=["field"])
+
+    rows = kept.select("doc_id", F.col("text").cast("binary").alias("text"), "toxic").repartition(1)
+    made = rows.mapInArrow(run, "field binary").collect()  # 4 MB, or no row where no task ran
+    return pickle.loads(made[0]["field"]) if made else fit([], totals)
 
 
 def _levels(found: DataFrame, most: Column) -> dict[bool, int]:
