@@ -169,3 +169,43 @@ def test_stretches_whose_hashes_clash(spark):
     alone = {r["doc_id"]: r["ids_sha256"] for t in ((0, a), (1, b)) for r in m.sample(spark.createDataFrame([t], "doc_id long, text string")).collect()}
     got = m.sample(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string").coalesce(1)).collect()
     assert all(r["round_trip"] and r["ids_sha256"] == alone[r["doc_id"]] for r in got)
+
+
+def test_shared_stretches_are_worked_once(pieces, monkeypatch):
+    """Texts that share their stretches cost a sample's steps, not transcendental functions of every piece."""
+    text, n = "The committee adopted its report on the 12th, in thirteen chapters and three annexes. " * 4, 200
+    data, off = texts(pa.array([text] * n, pa.string()))
+    s, done = m.Slice(data, off, pieces), Counter()
+
+    class Counting:
+        def __getattr__(self, name):
+            f = getattr(np, name)
+            if name not in ("expm1", "logaddexp"):
+                return f
+
+            def counted(x, *rest, **options):
+                done[name] += np.size(x)
+                return f(x, *rest, **options)
+
+            counted.reduce = getattr(f, "reduce", None)
+            return counted
+
+    monkeypatch.setattr(m, "np", Counting())
+    found = m.Samples(s, mix64(np.arange(n, dtype=np.uint64)), 2)
+    edges = len(s.lattice.dst)
+    assert sum(len(x[0]) for x in found.found) > 50 * edges
+    assert done["expm1"] <= edges and done["logaddexp"] <= int(s.lattice.deg.max()) * edges
+
+
+def test_shares_of_other_pieces(pieces):
+    for text in ("the cat sat", "a\nb 日é", "aaaa" * 40, "x" * 700 + " y" * 300):
+        t = m.Slice(*texts(pa.array([text], pa.string())), pieces).lattice
+        edge = np.arange(len(t.dst))
+        for part in (edge[::3], edge):  # known ones are given again
+            got = t.others(part)
+            for e, x in zip(part.tolist(), got.tolist(), strict=True):
+                a = int(t.ptr[t.src[e]])
+                rest = [q for i, q in enumerate(t.log_q[a : a + int(t.deg[t.src[e]])].tolist(), a) if i != e]
+                assert x == -np.inf if not rest else abs(x - np.logaddexp.reduce(rest)) < 1e-9
+        starts = t.ptr[np.unique(t.src)]
+        assert np.allclose(np.logaddexp.reduceat(t.log_q, np.sort(starts)), 0, atol=1e-9)

@@ -112,9 +112,11 @@ class Pieces:
         inner = [k for k, c in enumerate(children) if c]
         self.row = np.full(len(children), -1, np.int32)
         self.row[inner] = np.arange(len(inner))
-        self.table = np.full((len(inner), 256), -1, np.int32)
+        # by byte first: the rows of frequent pieces come early, so what texts read lies close together
+        table = np.full((256, len(inner)), -1, np.int32)
         for r, k in enumerate(inner):
-            self.table[r, list(children[k])] = list(children[k].values())
+            table[list(children[k]), r] = list(children[k].values())
+        self.table, self.rows = table.ravel(), len(inner)
 
     def normalized(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts as the model normalises them; null counts as empty."""
@@ -137,62 +139,88 @@ class Lattices:
         wide[src] = width
         alone = np.zeros(n, bool)
         every = src
-        node = np.zeros(len(src), np.int32)
+        column = buf.astype(np.int64) * pieces.rows
+        node: np.ndarray | int = 0
         depth = 0
         while len(src):
-            nxt = pieces.table[node, buf[src + depth]]
-            on = nxt >= 0
-            src, nxt = src[on], nxt[on]
+            nxt = pieces.table.take(column.take(src + depth) + node)
+            on = np.flatnonzero(nxt >= 0)
+            src, nxt = src.take(on), nxt.take(on)
             depth += 1
-            hit = pieces.piece[nxt] >= 0
-            s = src[hit]
-            alone[s[wide[s] == depth]] = True
-            found.append((s, deg[s].copy(), s + depth, pieces.piece[nxt[hit]]))
-            deg[s] += 1
-            row = pieces.row[nxt]
-            go = row >= 0
-            src, node = src[go], row[go]
+            piece = pieces.piece.take(nxt)
+            hit = np.flatnonzero(piece >= 0)
+            s = src.take(hit)
+            if depth <= 4:
+                alone[s[wide.take(s) == depth]] = True
+            slot = deg.take(s)
+            found.append((s, slot, s + depth, piece.take(hit)))
+            deg[s] = slot + 1
+            row = pieces.row.take(nxt)
+            go = np.flatnonzero(row >= 0)
+            src, node = src.take(go), row.take(go)
         s = every[~alone[every]]
-        found.append((s, deg[s].copy(), s + wide[s], np.full(len(s), -1, np.int32)))
+        found.append((s, deg[s], s + wide[s], np.full(len(s), -1, np.int32)))
         deg[s] += 1
         self.deg = deg
-        self.ptr = np.concatenate(([0], np.cumsum(deg, dtype=np.int64)))[:-1]
-        m = int(deg.sum())
-        self.dst, self.piece = np.zeros(m, np.int64), np.zeros(m, np.int32)
-        self.src = np.zeros(m, np.int64)
-        for a, slot, b, p in found:
-            at = self.ptr[a] + slot
-            self.dst[at], self.piece[at], self.src[at] = b, p, a
-        w = np.where(self.piece >= 0, pieces.weight[self.piece], pieces.byte_weight * (self.dst - self.src if pieces.spells else 1))
-        # backward sums, nodes of one place in their stretches at a time, the last first
+        # nodes by place in their stretches; the edges of one place lie together
         place = np.arange(n) - np.repeat(base, np.diff(np.concatenate((base, [n]))))
         live = np.flatnonzero(deg)
         p = place[live]
         order = live[np.argsort(p.astype(np.uint16) if len(p) and p.max() < 65536 else p, kind="stable")]
         cuts = np.concatenate(([0], np.cumsum(np.bincount(p)))) if len(p) else np.zeros(1, np.int64)
-        beta = np.full(n, -np.inf)
-        beta[buf == _END] = 0
+        degs = deg[order]
+        ends = np.concatenate(([0], np.cumsum(degs, dtype=np.int64)))
+        m, starts = int(ends[-1]), ends[:-1]
+        self.ptr = np.zeros(n, np.int64)
+        self.ptr[order] = starts
+        self.last = np.full(n, -1, np.int64)
+        self.last[order] = ends[1:] - 1
+        self.dst, self.piece = np.zeros(m, np.int64), np.zeros(m, np.int32)
+        self.src = np.repeat(order, degs)
+        for a, slot, b, piece in found:
+            at = self.ptr.take(a) + slot
+            self.dst[at], self.piece[at] = b, piece
+        w = pieces.weight[self.piece]
+        spelled = np.flatnonzero(self.piece < 0)
+        w[spelled] = pieces.byte_weight * (self.dst[spelled] - self.src[spelled] if pieces.spells else 1)
+        # backward sums, nodes of one place at a time, the last first
+        beta = np.zeros(n)
+        self.log_q = np.empty(m)
         for k in range(len(cuts) - 2, -1, -1):
-            nodes = order[cuts[k] : cuts[k + 1]]
-            if not len(nodes):
+            lo, hi = int(cuts[k]), int(cuts[k + 1])
+            if lo == hi:
+                continue
+            a, b = int(ends[lo]), int(ends[hi])
+            x = w[a:b] + beta.take(self.dst[a:b])
+            if b - a == hi - lo:
+                beta[order[lo:hi]] = x
+                self.log_q[a:b] = 0
                 continue
-            ptr, d = self.ptr[nodes], deg[nodes]
-            total = w[ptr] + beta[self.dst[ptr]]
-            for j in range(1, int(d.max())):
-                more = np.flatnonzero(d > j)
-                e = ptr[more] + j
-                total[more] = np.logaddexp(total[more], w[e] + beta[self.dst[e]])
-            beta[nodes] = total
-        self.log_q = w + beta[self.dst] - beta[self.src] if m else np.zeros(0)
-        self.cum = np.exp(self.log_q)
-        nodes = live
-        for j in range(1, int(deg.max()) if n else 0):
-            nodes = nodes[deg[nodes] > j]
-            e = self.ptr[nodes] + j
-            self.cum[e] += self.cum[e - 1]
+            at, d = starts[lo:hi] - a, degs[lo:hi]
+            top = np.maximum.reduceat(x, at)
+            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, d)), at))
+            beta[order[lo:hi]] = total
+            self.log_q[a:b] = x - np.repeat(total, d)
+        cum = np.exp(self.log_q)
+        nodes = np.flatnonzero(degs > 1)
+        for j in range(1, int(degs.max()) if m else 0):
+            nodes = nodes[degs[nodes] > j]
+            e = starts[nodes] + j
+            cum[e] += cum[e - 1]
+        #: The share of the edges before each one of its node; -1 for the first.
+        self.below = np.concatenate(([-1.0], cum[:-1])) if m else cum
+        self.below[starts] = -1
+        self.rest, self.known = np.empty(m), np.zeros(m, bool)
 
     def others(self, edge: np.ndarray) -> np.ndarray:
         """Log of the share of the paths through each edge's node that take another edge."""
+        new = np.zeros(len(self.known), bool)
+        new[edge] = True  # paths share most of their edges, so each is computed once
+        new = np.flatnonzero(new & ~self.known)
+        self.rest[new], self.known[new] = self._others(new), True
+        return self.rest.take(edge)
+
+    def _others(self, edge: np.ndarray) -> np.ndarray:
         ptr, d, own = self.ptr[self.src[edge]], self.deg[self.src[edge]], self.log_q[edge]
         out = np.full(len(edge), -np.inf)
         far = own < -1e-3
@@ -206,6 +234,12 @@ class Lattices:
         return out
 
 
+def _rows(pos: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each of the sorted places, and the rows' first ones and their end."""
+    first = np.searchsorted(pos, off)
+    return np.repeat(np.arange(len(off) - 1), np.diff(first)), first
+
+
 class Slice:
     """Texts of one slice: their buffer, stretches and lattices."""
 
@@ -227,7 +261,7 @@ class Slice:
         cut[self.off[:-1][full]] = True
         self.start = np.flatnonzero(cut)
         end = np.concatenate((self.start[1:], [len(self.buf)]))
-        self.row = np.searchsorted(self.off, self.start, "right") - 1
+        self.row = _rows(self.start, self.off)[0]
         size = end - self.start
         _, first, which = np.unique(span_hashes(self.buf, self.start, end), return_index=True, return_inverse=True)
         twin = np.repeat(self.start[first[which]] - self.start, size)  # to the same place in the first of its kind
@@ -250,26 +284,26 @@ def _walk(s: Slice, x: np.ndarray, delta: np.ndarray, key: np.ndarray, edge_at:
     """Draw paths from places ``x`` to their stretches' ends into ``edge_at``."""
     t = s.lattice
     while len(x):
-        node = x + delta
-        deg = t.deg[node]
-        on = deg > 0
+        e = t.last.take(x + delta)
+        on = e >= 0
         if not on.all():
-            x, delta, key, node, deg = x[on], delta[on], key[on], node[on], deg[on]
-        e = t.ptr[node]
+            on = np.flatnonzero(on)
+            x, delta, key, e = x.take(on), delta.take(on), key.take(on), e.take(on)
         r = uniform(mix64(key + x.astype(np.uint64)))
-        last = e + deg - 1
-        go = np.flatnonzero((r > t.cum[e]) & (e < last))
+        # from the last edge down, as long pieces are the likely ones
+        go = np.flatnonzero(r <= t.below.take(e))
         while len(go):
-            e[go] += 1
-            go = go[(r[go] > t.cum[e[go]]) & (e[go] < last[go])]
+            e[go] -= 1
+            go = go[r.take(go) <= t.below.take(e.take(go))]
         edge_at[x] = e
-        x = t.dst[e] - delta
+        x = t.dst.take(e) - delta
 
 
 def _gumbel_below(mass: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The maximum of a region of log mass ``mass`` given that it lies below ``top``."""
     with np.errstate(over="ignore", divide="ignore"):
-        return -np.logaddexp(-top, np.log(-np.log(u)) - mass)
+        z = np.log(-np.log(u)) - mass
+        return -np.maximum(-top, z) - np.log1p(np.exp(-np.abs(top + z)))  # logaddexp, which has no vector form; top is finite
 
 
 class Samples:
@@ -364,12 +398,10 @@ class Samples:
             self.rows_of, self.before = [], []
         pos = np.flatnonzero(edge_at >= 0)
         edge = edge_at[pos]
-        row = np.searchsorted(s.off, pos, "right") - 1
-        log_q = t.log_q[edge]
-        count = np.bincount(row, minlength=s.rows)
-        first = np.concatenate(([0], np.cumsum(count)))
+        row, first = _rows(pos, s.off)
+        log_q = t.log_q.take(edge)
         before, whole = np.zeros(len(log_q)), np.zeros(s.rows)
-        for r in np.flatnonzero(count).tolist():  # sums of each row alone, so that slices don't change their rounding
+        for r in np.flatnonzero(np.diff(first)).tolist():  # sums of each row alone, so that slices don't change their rounding
             a, b = first[r], first[r + 1]
             run = np.cumsum(log_q[a:b])
             before[a + 1 : b], whole[r] = run[:-1], run[-1]
@@ -389,19 +421,21 @@ class Samples:
         if not len(pos):
             return np.zeros(0, np.int32), np.zeros(s.rows + 1, np.int64)
         t = s.lattice
-        piece = t.piece[edge]
-        count = np.where(piece < 0, t.dst[edge] - t.src[edge], 1)
+        ids = t.piece.take(edge)
+        out = np.flatnonzero(ids < 0)  # pieces that no text spells, for which there are others
+        if not len(out):
+            return ids, np.searchsorted(pos, s.off)
+        count = np.ones(len(ids), np.int64)
+        count[out] = t.dst[edge[out]] - t.src[edge[out]]
         if not s.pieces.spells:  # the unknown piece, once for each run
-            again = (piece[1:] < 0) & (piece[:-1] < 0) & (self.rows_of[i][1:] == self.rows_of[i][:-1])
+            again = (ids[1:] < 0) & (ids[:-1] < 0) & (self.rows_of[i][1:] == self.rows_of[i][:-1])
             count = np.where(np.concatenate(([False], again)), 0, 1)
-        ids = np.repeat(piece, count)
+        ids = np.repeat(ids, count)
+        ahead = np.concatenate(([0], np.cumsum(count)))
         spelled = np.flatnonzero(ids < 0)
-        if len(spelled):
-            ahead = np.cumsum(count) - count
-            inside = spelled - np.repeat(ahead, count)[spelled]
-            ids[spelled] = s.pieces.byte_id[s.buf[np.repeat(pos, count)[spelled] + inside]]
-        n = np.bincount(self.rows_of[i], count, minlength=s.rows).astype(np.int64)
-        return ids, np.concatenate(([0], np.cumsum(n)))
+        inside = spelled - np.repeat(ahead[out], count[out])
+        ids[spelled] = s.pieces.byte_id[s.buf[np.repeat(pos[out], count[out]) + inside]]
+        return ids, ahead[np.searchsorted(pos, s.off)]
 
     def log_inclusion(self, i: int) -> np.ndarray:
         """Log of the chance that sample i's segmentation is among k, given the next perturbed value."""
@@ -433,6 +467,8 @@ def _pieces(var, power: float) -> Pieces:
 def _spells(ids: np.ndarray, at: np.ndarray, s: Slice, p: Pieces) -> np.ndarray:
     """Whether each row's ids decode to its normalised text."""
     raw = decoded(ids, p)
+    if len(raw) == len(s.buf) and np.array_equal(np.concatenate(([0], np.cumsum(p.length[ids])))[at], s.off) and np.array_equal(raw, s.buf):
+        return np.ones(s.rows, bool)
     end = np.concatenate(([0], np.cumsum(p.length[ids])))[at].tolist()
     off = s.off.tolist()
     return np.array([np.array_equal(raw[end[r] : end[r + 1]], s.buf[off[r] : off[r + 1]]) for r in range(s.rows)], bool)
