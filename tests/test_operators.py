@@ -344,3 +344,29 @@ def test_paths_are_looked_up_by_their_file_system(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"asset_id": "a"}\n')
     assert readers.exists(spark, f"file://{tmp_path}/m.jsonl") and not readers.exists(spark, f"{tmp_path}/none")
     assert readers.manifest(spark, f"file://{tmp_path}/m.jsonl").count() == 1 and readers.manifest(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("words, sets", [(40, 1000), (10_000, 3)])
+def test_jaccard_pairs_meet_across_blocks(spark, monkeypatch, words, sets):
+    from weftline.operators import setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK_WORDS", words)
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", sets)
+    rng = random.Random(8)
+    rows = [(i, sorted({f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 30))})) for i in range(90)]
+    df = frame(spark, rows, "k int, words array<string>")
+    for least in (0.35, 0.5, 1.0):
+        pairs = U.jaccard_pairs(df, None, "k", least)
+        assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()  # no pair is shuffled
+        want = {(a, b) for a, x in rows for b, y in rows if a > b and len(set(x) & set(y)) >= least * len(set(x) | set(y))}
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+        two = U.jaccard_pairs(df.where("k < 50"), df.where("k >= 40"), "k", least).collect()
+        assert sorted((r["a"], r["b"]) for r in two) == sorted((a, b) for a, x in rows[:50] for b, y in rows[40:] if len(set(x) & set(y)) >= least * len(set(x) | set(y)))
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    from weftline.operators import setjoin
+
+    monkeypatch.setattr(setjoin, "HASHES", (lambda w: F.length(w).cast("long"), *setjoin.HASHES))
+    df = frame(spark, [(1, ["a", "b", "cc"]), (2, ["x", "y", "zz"]), (3, ["a", "b", "zz"])], "k int, words array<string>")
+    assert [(r["a"], r["b"], r["jaccard"]) for r in U.jaccard_pairs(df, None, "k", 0.2).orderBy("a", "b").collect()] == [(3, 1, 0.5), (3, 2, 0.2)]
