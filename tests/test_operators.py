@@ -370,3 +370,18 @@ def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "HASHES", (lambda w: F.length(w).cast("long"), *setjoin.HASHES))
     df = frame(spark, [(1, ["a", "b", "cc"]), (2, ["x", "y", "zz"]), (3, ["a", "b", "zz"])], "k int, words array<string>")
     assert [(r["a"], r["b"], r["jaccard"]) for r in U.jaccard_pairs(df, None, "k", 0.2).orderBy("a", "b").collect()] == [(3, 1, 0.5), (3, 2, 0.2)]
+
+
+def test_greedy_dedup_over_blocks_equals_a_plain_loop(spark, monkeypatch):
+    from weftline.operators import setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK_WORDS", 60)
+    rng = random.Random(9)
+    sets = [(i, sorted({f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 9))})) for i in range(60)]
+    kept = []
+    for _, x in sets:
+        if not any(2 * len(set(x) & set(y)) >= len(set(x) | set(y)) for _, y in kept):
+            kept.append((_, x))
+    df = frame(spark, sets, "k int, words array<string>")
+    got = U.greedy_keep(df.select("k"), U.jaccard_pairs(df, None, "k", 0.5), "k", writer(spark)).collect()
+    assert sorted(r["k"] for r in got) == [k for k, _ in kept]
