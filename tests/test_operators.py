@@ -385,3 +385,27 @@ def test_greedy_dedup_over_blocks_equals_a_plain_loop(spark, monkeypatch):
     df = frame(spark, sets, "k int, words array<string>")
     got = U.greedy_keep(df.select("k"), U.jaccard_pairs(df, None, "k", 0.5), "k", writer(spark)).collect()
     assert sorted(r["k"] for r in got) == [k for k, _ in kept]
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 8])
+def test_forward_search_equals_the_join(spark, monkeypatch, cells):
+    from weftline.operators import forward
+
+    monkeypatch.setattr(forward, "CELLS", cells)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 20))) for _ in range(80)]
+    rows = [*enumerate([*texts, *texts[:20], "", None])]
+    d = frame(spark, rows, "id int, t string").repartition(3)
+    q = frame(spark, [(1, "a b bb a"), (2, "cc d d"), (3, "zzz"), (5, "h")], "q int, t string")
+    title, words = F.substring("t", 1, 3), sorted(r[0] for r in forward.asked_words(q, "q", "t").select("token").distinct().collect())
+    index = forward.forward(d, "id", "t", words, title, writer(spark))
+    for k, bonus in ((3, 0.0), (7, 0.75), (200, 0.75)):
+        got = I.search_forward(index, words, q, "q", "t", k, title_bonus=bonus).collect()
+        want = I.bm25(q, d, "q", "id", "t", "t", title, k, title_bonus=bonus).collect()
+        assert sorted((r["q"], r["doc"], r["rank"]) for r in got) == sorted((r["q"], r["id"], r["rank"]) for r in want)
+        assert {(r["q"], r["doc"]): r["score"] for r in got} == pytest.approx({(r["q"], r["id"]): r["score"] for r in want}, abs=1.1e-6)
+    twice = forward.forward(frame(spark, [(1, "a b"), (1, "b c"), (2, "a"), (3, ""), (3, "")], "id int, t string"), "id", "t", ["a", "b", "c"], None, writer(spark))
+    assert sorted((r["doc"], r["len"], r["words"], r["tf"]) for r in twice.collect()) == [(1, 4, [0, 1, 2], [1, 2, 1]), (2, 1, [0], [1]), (3, 0, [], [])]
+    none = frame(spark, [], "q int, t string")
+    assert I.search_forward(index, words, none, "q", "t", 3).collect() == []
+    assert I.search_forward(forward.forward(d.where("false"), "id", "t", words, title, writer(spark)), words, q, "q", "t", 3).collect() == []

@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.citations import alias_regex
 from ..functions.text import dot, tokens, unit_vector
 from ..session import spread
+from . import forward
 
 K1, B, TITLE_BONUS, RRF_C, GUIDANCE_SLOTS = 1.5, 0.75, 0.75, 60, 2
 
@@ -110,6 +112,19 @@ def search_index(spark, path: str, queries: DataFrame, query_key: str, text: str
     return _scored(asked.drop("shard"), postings, stats.select("avg_len"), query_key, "doc", k, k1, b, title_bonus)
 
 
+def search_forward(index: DataFrame, vocabulary: list[str], queries: DataFrame, query_key: str, text: str, k: int, k1: float = K1, b: float = B, title_bonus: float = 0.0) -> DataFrame:
+    """``query_key``, doc, score, rank from a forward index (``forward.forward``) of a vocabulary that holds all words of the queries; ranks equal those of ``bm25``."""
+    asked = forward.asked_words(queries, query_key, text).collect()
+    keys = sorted({r[query_key] for r in asked})
+    number = {key: i for i, key in enumerate(keys)}
+    names = queries.sparkSession.createDataFrame(list(enumerate(keys)), T.StructType([T.StructField("_q", T.IntegerType()), queries.schema[query_key]]))
+    if not keys:
+        return names.where("false").select(query_key, F.lit(None).cast(index.schema["doc"].dataType).alias("doc"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    found = forward.best(index, vocabulary, [(number[r[query_key]], r["token"], r["m"]) for r in asked], len(keys), k, k1, b, title_bonus)
+    out = ranked(found.withColumnRenamed("q", "_q"), ["_q"], [F.col("score").desc(), F.col("doc").desc()], k)
+    return out.join(F.broadcast(names), "_q").select(query_key, "doc", "score", "rank")
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
     """Adds rank from 1; with ``k``, only the first ``k`` of each group."""
     out = rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("int"))
