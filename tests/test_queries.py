@@ -81,3 +81,16 @@ def test_turns_of_long_conversations_are_rows_of_their_own(spark, tmp_path):
     assert sorted((tuple(r["a"]), tuple(r["b"])) for r in got) == [((2, 0), (1, 1000)), ((2, 1), (1, 1001))]
     got = registry.QUERIES["leaking_turns"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r["id"]) for r in got) == [(1, 1000), (1, 1001), (2, 0), (2, 1)]
+
+
+@pytest.mark.parametrize("name", ["pack_budget"])
+def test_documents_stay_where_they_are(spark, sf, name):
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    # only the items themselves may be shuffled for a join
+    assert plan.count("SortMergeJoin") <= (name == "format_context")
+    assert not any("text#" in line and "documents" in line for line in plan.splitlines() if "Exchange" in line)
