@@ -9,9 +9,8 @@ from ..functions.text import STOPWORDS, STRICT_NUMERALS, UNITS, split_words
 from ..operators import metrics as M
 from ..operators import records as R
 from .curating import _STRICT
-from ..sources.sinks import scratch
 from .base import Tables, query
-from .retrieving import _bm25_sql, bm25
+from .retrieving import _bm25_sql, bm25, few
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _NUM = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in STRICT_NUMERALS.items()) + "}"
@@ -141,7 +140,7 @@ h AS (SELECT b.item_id, b.item_id % 2 AS parity, coalesce((SELECT list(doc_id OR
 
 def _hits(t: Tables, title: bool = False):
     """item_id, parity, gold (candidates that hold the item verbatim), found (the first eight)."""
-    c = scratch(t.spark)(bm25(t, 50, title)).join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id").join(t.benchmark, "item_id")
+    c = few(bm25(t, 50, title).join(t.benchmark, "item_id")).join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id")
     pick = lambda on: F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("rank", "doc_id")))), lambda x: x["doc_id"])  # noqa: E731  50 rows an item at most
     per = c.groupBy("item_id").agg(pick(F.contains("body", F.col("text"))).alias("gold"), pick(F.col("rank") <= 8).alias("found"))
     none = F.array().cast("array<bigint>")
@@ -167,7 +166,7 @@ def phrase_coverage(t: Tables):
     """How many items some retrieved document holds verbatim, or by most of its words."""
     from ..functions.text import tokens
 
-    c = bm25(t, 8).join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id").join(t.benchmark, "item_id")
+    c = few(bm25(t, 8).join(t.benchmark, "item_id")).join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id")
     own = F.array_distinct(tokens("text"))
     c = c.select("item_id", F.contains("body", F.col("text")).alias("v"), (F.size(F.array_intersect(own, tokens("body"))) / F.size(own)).alias("c"))
     per = c.groupBy("item_id").agg(F.max("v").alias("v"), F.max("c").alias("c"))
