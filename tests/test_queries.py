@@ -83,7 +83,7 @@ def test_turns_of_long_conversations_are_rows_of_their_own(spark, tmp_path):
     assert sorted(tuple(r["id"]) for r in got) == [(1, 1000), (1, 1001), (2, 0), (2, 1)]
 
 
-@pytest.mark.parametrize("name", ["pack_budget", "phrase_coverage", "bm25_title_bonus_topk", "format_context"])
+@pytest.mark.parametrize("name", ["pack_budget", "phrase_coverage", "bm25_title_bonus_topk", "format_context", "bm25_topk"])
 def test_documents_stay_where_they_are(spark, sf, name):
     least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
