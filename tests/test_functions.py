@@ -124,3 +124,17 @@ def test_reference_similarity_normalises_each_text_once(spark):
     assert [r["s"] for r in got.collect()] == [0.5, 1.0, 0.0, 0.0, 0.0]
     # twice where the texts differ, once where they are equal
     assert got._jdf.queryExecution().analyzed().toString().count("lower(") <= 3
+
+
+def test_texts_are_not_shuffled_for_reference_keys(spark):
+    from weftline.functions import citations as C
+
+    df = spark.createDataFrame([(1, "Section 3 alpha, Section 4 of the old code, Section 3 alpha")], "id int, t string")
+    statutes = spark.createDataFrame([("alpha_2023", "3"), ("alpha_2023", "5")], "act_id string, section string")
+    mappings = spark.createDataFrame([("OLD", "4", "ALPHA", "5")], "old_act string, old_section string, new_act string, new_section string")
+    refs = C.reference_keys(df, "id", "t", statutes, mappings)
+    assert sorted((r["ref"], r["ord"]) for r in refs.collect()) == [("alpha_2023:3", 1), ("alpha_2023:5", 2)]
+    plan = refs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    physical = refs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert sum("hashpartitioning(id" in line for line in physical.splitlines()) == 1

@@ -85,7 +85,7 @@ SPANS = "array<struct<start: int, end: int, family: string, text: string>>"
 
 def spans(text: Column, aliases: Aliases = DEMO) -> Column:
     """Spans of citations (family null) and of act names; an Arrow UDF, as the JVM has no all-positions regex."""
-    compiled = [(f, re.compile(_python_alias(n))) for f, names in aliases.families.items() for n in names]
+    compiled = [(f, n, re.compile(_python_alias(n))) for f, names in aliases.families.items() for n in names]
 
     @F.arrow_udf(SPANS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -95,7 +95,7 @@ def spans(text: Column, aliases: Aliases = DEMO) -> Column:
                 t = t or ""
                 low = t.lower()
                 rows += [(m.start(), m.end(), None, m[0]) for m in _PY_CITATION.finditer(t)]
-                rows += [(m.start(), m.end(), f, m[0]) for f, p in compiled for m in p.finditer(low)]
+                rows += [(m.start(), m.end(), f, m[0]) for f, n, p in compiled if n in low for m in p.finditer(low)]
                 at.append(len(rows))
             flat = list(zip(*rows, strict=True)) or [(), (), (), ()]
             types = (pa.int32(), pa.int32(), pa.string(), pa.string())
@@ -162,21 +162,23 @@ def reference_keys(rows: DataFrame, key: str, text: str, statutes: DataFrame, ma
     """
     from .text import tokens
 
+    carried = ["_t"] if idf is not None and postings is not None else []  # texts travel only where their words decide
     base = rows.select(key, F.col(text).alias("_t"), (F.col(domain) if domain else F.lit(None).cast("string")).alias("_domain"))
     base = base.withColumn("_families", families_in("_t", aliases)).withColumn("_named", F.size("_families") > 0)
     cites = base.select("*", F.posexplode(extract("_t")).alias("_ord", "_c"))
     cites = cites.withColumn("_section", number("_c")).withColumn("_article", F.contains(F.lower("_c"), F.lit("art")) | F.contains(F.col("_c"), F.lit("अनुच्छेद")))
     every = F.array(*[F.lit(f) for f in aliases.acts])
     tried = F.when(F.col("_named"), F.col("_families")).when(F.col("_article"), F.array(F.lit("charter"))).otherwise(every)
-    probes = cites.select("*", F.posexplode(tried).alias("_f_ord", "_family"))
+    probes = cites.select(key, *carried, "_domain", "_named", "_article", "_ord", "_section", F.posexplode(tried).alias("_f_ord", "_family"))
     acts = F.create_map(*[F.lit(x) for kv in aliases.acts.items() for x in kv])
     known = statutes.select(F.col("act_id").alias("_act"), F.upper("section").alias("_sec")).distinct()
     direct = probes.withColumn("_act", F.element_at(acts, F.col("_family"))).join(known.withColumnRenamed("_sec", "_section"), ["_act", "_section"])
-    direct = direct.select(key, "_ord", "_f_ord", F.lit(1).alias("_kind"), F.concat("_act", F.lit(":"), "_section").alias("ref"), "_section", "_named", "_article", "_domain", "_t")
+    direct = direct.select(key, "_ord", "_f_ord", F.lit(1).alias("_kind"), F.concat("_act", F.lit(":"), "_section").alias("ref"), "_section", "_named", "_article", "_domain", *carried)
     moved = mappings.select(F.lower("old_act").alias("_family"), F.upper("old_section").alias("_section"), F.element_at(acts, F.lower("new_act")).alias("_new"), F.upper("new_section").alias("_new_section")).where("_new is not null")
     via = probes.where(F.col("_family").isin(*aliases.successors or ["-"])).join(moved, ["_family", "_section"])
-    via = via.select(key, "_ord", "_f_ord", F.lit(0).alias("_kind"), F.concat("_new", F.lit(":"), "_new_section").alias("ref"), F.col("_new_section").alias("_section"), "_named", "_article", "_domain", "_t")
-    found = direct.unionByName(via)
+    via = via.select(key, "_ord", "_f_ord", F.lit(0).alias("_kind"), F.concat("_new", F.lit(":"), "_new_section").alias("ref"), F.col("_new_section").alias("_section"), "_named", "_article", "_domain", *carried)
+    # one shuffle: all groups below lie within a key
+    found = direct.unionByName(via).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     loose = ~F.col("_named") & ~F.col("_article")
     if domain_acts:
         pairs = [(d, list(v)) for d, v in domain_acts.items()]
