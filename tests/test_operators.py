@@ -409,3 +409,19 @@ def test_forward_search_equals_the_join(spark, monkeypatch, cells):
     none = frame(spark, [], "q int, t string")
     assert I.search_forward(index, words, none, "q", "t", 3).collect() == []
     assert I.search_forward(forward.forward(d.where("false"), "id", "t", words, title, writer(spark)), words, q, "q", "t", 3).collect() == []
+
+
+def test_near_pairs_across_blocks_equal_all_pairs(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from weftline.operators import setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK_WORDS", 50)
+    rng = random.Random(12)
+    base = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(9)) for _ in range(20)) for _ in range(8)]
+    texts = [" ".join(w if rng.random() > 0.05 else "x" for w in rng.choice(base).split()) for _ in range(40)]
+    firsts = [i for i, t in enumerate(texts) if texts.index(t) == i]
+    want = {(i, texts.index(t)) for i, t in enumerate(texts) if texts.index(t) != i}
+    near = {(a, b) for a in firsts for b in firsts if a > b and SequenceMatcher(None, texts[a], texts[b]).ratio() > 0.92}
+    df = frame(spark, list(enumerate(texts)), "id int, t string")
+    assert near and {(r["a"], r["b"]) for r in U.near_pairs(df, None, "id", "t").collect()} == want | near
